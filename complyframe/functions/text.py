@@ -31,7 +31,7 @@ def slugify(value: Column) -> Column:
 
 
 def name_parts(key: Column) -> Column:
-    return F.transform(F.split(key, "[(),/]"), F.trim)
+    return F.transform(F.split(key, "[(),/]"), lambda part: F.trim(part))
 
 
 def substance(name: Column, synonyms: dict[str, str] = SUBSTANCE_SYNONYMS) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +72,19 @@ def find_similar(vectors: DataFrame, query: DataFrame, key: str, vector: str, k:
     scored = vectors.join(F.broadcast(query.limit(1)))
     score = scoring.cosine(F.col(vector), F.col("query"))
     return scored.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.asc(key)).limit(k).drop("query")
+
+
+def provenance(branches: Mapping[str, DataFrame], decisions: DataFrame) -> DataFrame:
+    """Counts per document of everything it led to.
+
+    ``branches``: kind -> (document_id, label) rows. ``decisions``: guardrail
+    counts by document (document_id, decision, pairs).
+    """
+    counted = [
+        rows.groupBy("document_id", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        for kind, rows in branches.items()
+    ]
+    judged = decisions.select(
+        "document_id", F.col("decision").alias("label"), F.col("pairs").alias("n"), F.lit("guardrail").alias("kind")
+    )
+    return reduce(DataFrame.unionByName, [*counted, judged])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complyframe.constants import ANY_PRODUCT_TYPE, REVIEW_CONFIDENCE
@@ -243,9 +243,25 @@ def compare_jurisdictions(required: DataFrame, jurisdictions: list[str]) -> Data
     )
 
 
-def most_critical(required: DataFrame) -> DataFrame:
-    """The one issue per product × market that matters most."""
-    rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
-    ranked = required.where("severity IS NOT NULL").withColumn("_rank", rank)
-    window = Window.partitionBy(*PAIR).orderBy(F.desc("_rank"), F.asc("clause_id"))
-    return ranked.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_rank")
+def readiness(required: DataFrame, product_markets: DataFrame) -> DataFrame:
+    """Label per product × market, and the clause behind its most critical issue."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1)
+    issue = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("clause_id").alias("clause_id")))
+    bare = product_markets.select(*PAIR).withColumns(
+        {
+            "evaluation": F.lit("none"),
+            "issue": F.lit(None).cast(f"struct<rank: int, clause_id: {dict(required.dtypes)['clause_id']}>"),
+        }
+    )
+    rows = required.select(*PAIR, "evaluation", issue.alias("issue")).unionByName(bare)
+    per_pair = rows.groupBy(*PAIR).agg(
+        F.bool_or(F.col("evaluation") == "fail").alias("fail"),
+        F.bool_or(F.col("evaluation") == "needs_review").alias("review"),
+        F.bool_or(F.col("evaluation") == "pass").alias("ok"),
+        F.min("issue").alias("issue"),
+    )
+    status = scoring.rollup_status(F.col("fail"), F.col("review"), F.col("ok"))
+    return per_pair.select(
+        *PAIR, status.alias("status"), scoring.readiness_label(status).alias("label"),
+        F.col("issue.clause_id").alias("most_critical"),
+    )

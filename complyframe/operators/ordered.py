@@ -21,32 +21,48 @@ def id_slice(column: str, rows: int = 1 << 17) -> Column:
     return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
 
 
-def neighbour(
+def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     levels: Sequence[str],
     order: Sequence[str],
     payload: Sequence[str],
-    name: str,
-    following: bool = False,
+    before: str | None = "before",
+    after: str | None = None,
 ) -> DataFrame:
-    """Add struct column ``name``: the payload of the previous (or next) row."""
+    """Add struct columns with the payload of the previous and/or the next row.
+
+    Both sides share one sort of the slices; give None for a side not wanted.
+    """
     held = df.withColumn("_held", F.struct(*payload))
-    return _link(held, list(keys), list(levels), list(order), name, following).drop("_held")
+    if before:
+        held = held.withColumn("_last", F.col("_held"))
+    if after:
+        held = held.withColumn("_first", F.col("_held"))
+    return _link(held, list(keys), list(levels), list(order), before, after).drop("_held", "_last", "_first")
 
 
-def _link(df, keys, levels, order, name, following):
+def _link(df, keys, levels, order, before, after):
+    """``_last`` and ``_first`` are what a row shows to the row after and before it."""
     slice_keys = keys + levels
     window = Window.partitionBy(*slice_keys).orderBy(*order)
-    near = F.lead("_held").over(window) if following else F.lag("_held").over(window)
-    linked = df.withColumn(name, near)
+    linked = df
+    if before:
+        linked = linked.withColumn(before, F.lag("_last").over(window))
+    if after:
+        linked = linked.withColumn(after, F.lead("_first").over(window))
     if not levels:
         return linked
-    edge = F.min_by if following else F.max_by
-    edges = df.groupBy(*slice_keys).agg(edge("_held", F.struct(*order)).alias("_held"))
-    beyond = _link(edges, keys, levels[:-1], levels[-1:], "_beyond", following).drop("_held")
-    joined = linked.join(beyond, slice_keys, "left")
-    return joined.withColumn(name, F.coalesce(name, "_beyond")).drop("_beyond")
+    edges = []
+    if before:
+        edges.append(F.max_by("_last", F.struct(*order)).alias("_last"))
+    if after:
+        edges.append(F.min_by("_first", F.struct(*order)).alias("_first"))
+    outer = {name: f"_{side}_{len(levels)}" for side, name in (("before", before), ("after", after)) if name}
+    summary = df.groupBy(*slice_keys).agg(*edges)
+    beyond = _link(summary, keys, levels[:-1], levels[-1:], outer.get(before), outer.get(after))
+    joined = linked.join(beyond.drop("_last", "_first"), slice_keys, "left")
+    return joined.withColumns({name: F.coalesce(name, far) for name, far in outer.items()}).drop(*outer.values())
 
 
 def positions(

@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complyframe.constants import ANY_PRODUCT_TYPE
 from complyframe.functions import scoring, text
 from complyframe.functions.ids import prefixed_id
 from complyframe.operators.joins import salted_join
-from complyframe.operators.ordered import neighbour
+from complyframe.operators.ordered import neighbours
 
 SCOPE = ["jurisdiction", "substance", "product_type", "clause_type", "basis"]
 RECENCY = ["effective_date", "document_date", "clause_id"]
@@ -67,8 +67,7 @@ def supersede_chain(clauses: DataFrame) -> DataFrame:
     payload = ["clause_id", "limit_base"]
     sliced = _chain_slices(clauses.drop("supersedes", "superseded_by"))
     levels = ["effective_date", "_slice"]
-    linked = neighbour(sliced, SCOPE, levels, ["clause_id"], payload, "_before")
-    linked = neighbour(linked, SCOPE, levels, ["clause_id"], payload, "_after", following=True)
+    linked = neighbours(sliced, SCOPE, levels, ["clause_id"], payload, "_before", "_after")
     old, new = F.col("_before.limit_base"), F.col("limit_base")
     return (
         linked.withColumn("supersedes", F.col("_before.clause_id"))
@@ -78,10 +77,13 @@ def supersede_chain(clauses: DataFrame) -> DataFrame:
     )
 
 
-def date_conflicts(clauses: DataFrame) -> DataFrame:
+DATES = ("effective_date", "document_date")
+
+
+def date_conflicts(clauses: DataFrame, dates: Sequence[str] = DATES) -> DataFrame:
     """Scopes and dates at which clauses give different limits: undecidable by date."""
     return (
-        clauses.groupBy(*SCOPE, "effective_date", "document_date")
+        clauses.groupBy(*SCOPE, *dates)
         .agg(
             F.count(F.lit(1)).alias("clauses"),
             F.min("limit_base").alias("lowest"),
@@ -183,38 +185,37 @@ def _counted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def guardrail_counts(new: DataFrame, active: DataFrame) -> DataFrame:
-    """Candidate pairs per (substance of the new clause, decision), exactly.
+def guardrail_counts(new: DataFrame, active: DataFrame, by: str = "substance") -> DataFrame:
+    """Candidate pairs per (``by`` of the new clause, decision), exactly.
 
     The guardrail reads enumerated columns only, so it is decided once per pair
     of profiles and weighted. Pairs that share just the jurisdiction fail on
     substance; they are counted by subtraction.
     """
-    a = _prefixed(_counted(new, _PROFILE, "n"), "a")
+    extra = [] if by in _PROFILE else [by]
+    a = _prefixed(_counted(new, [*_PROFILE, *extra], "n"), "a")
     b = _prefixed(_counted(active, _PROFILE, "n"), "b")
-    profiles = a.join(b, F.col("a_substance") == F.col("b_substance"))
+    profiles = salted_join(a.withColumn("_key", F.col("a_substance")), b.withColumn("_key", F.col("b_substance")),
+                           ["_key"], a.columns)
     decided = profiles.select(
-        F.col("a_substance").alias("substance"),
+        F.col(f"a_{by}").alias(by),
         F.coalesce(guardrail_reason(_side("a"), _side("b")), F.lit("comparable")).alias("decision"),
         (F.col("a_n") * F.col("b_n")).alias("pairs"),
     )
     both = ["jurisdiction", "substance"]
-    new_both, active_both = _counted(new, both, "n"), _counted(active, both, "m")
+    new_both, active_both = _counted(new, [*both, *extra], "n"), _counted(active, both, "m")
     in_jurisdiction = active_both.groupBy("jurisdiction").agg(F.sum("m").alias("all_m"))
     elsewhere = (
         new_both.join(in_jurisdiction, "jurisdiction")
         .join(active_both, both, "left")
         .select(
-            "substance",
+            by,
             F.lit("substance_mismatch").alias("decision"),
             (F.col("n") * (F.col("all_m") - F.coalesce("m", F.lit(0)))).alias("pairs"),
         )
     )
     return (
-        decided.unionByName(elsewhere)
-        .groupBy("substance", "decision")
-        .agg(F.sum("pairs").alias("pairs"))
-        .where("pairs > 0")
+        decided.unionByName(elsewhere).groupBy(by, "decision").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
     )
 
 
@@ -287,6 +288,17 @@ def conflicts(current: DataFrame) -> DataFrame:
 # --- Verdicts ----------------------------------------------------------------
 
 
+def _cuts(pool: DataFrame) -> DataFrame:
+    """Per scope, the last clause whose limit is not the current one, as ``_cut``.
+
+    The newest clause of each distinct limit is enough to tell: the first of
+    them is current, the second is the cut.
+    """
+    newest = pool.groupBy(*SCOPE, "limit_base").agg(F.max(_recency()).alias("_cut"))
+    ranked = newest.withColumn("_n", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("_cut"))))
+    return ranked.where("_n <= 2").where("_n = 2").select(*SCOPE, "_cut")
+
+
 def verdicts(clauses: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """New status of every active or pending clause, whatever order they came in.
 
@@ -319,14 +331,7 @@ def verdicts(clauses: DataFrame, settled: DataFrame | None = None) -> DataFrame:
         marked = marked.withColumn("tied", unsettled)
 
     pool = marked.where("NOT tied").drop("tied")
-    latest = current_clauses(pool).select(*SCOPE, F.col("limit_base").alias("_current"))
-    against = salted_join(pool, latest, SCOPE, ["clause_id"])
-    cut = (
-        against.where("NOT (limit_base <=> _current)")
-        .groupBy(*SCOPE)
-        .agg(F.max(_recency()).alias("_cut"))
-    )
-    judged = salted_join(pool, cut, SCOPE, ["clause_id"], "left")
+    judged = salted_join(pool, _cuts(pool), SCOPE, ["clause_id"], "left")
     replaced = F.coalesce(_recency() <= F.col("_cut"), F.lit(False))
     chained = supersede_chain(judged.withColumn("_replaced", replaced).drop("_cut"))
     decided = chained.withColumn("status", F.when(F.col("_replaced"), "superseded").otherwise("active"))

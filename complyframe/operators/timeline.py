@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complyframe.operators.ordered import neighbour, positions
+from complyframe.operators.ordered import neighbours, positions
 
 
 def assemble(edges: Sequence[DataFrame], events: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def previous_states(
     events: DataFrame, entity: str, state: Sequence[str], at: str, key: str, levels: Sequence[str]
 ) -> DataFrame:
     """Add struct ``previous``: the entity's state at its event before."""
-    return neighbour(events, [entity], levels, [at, key], state, "previous")
+    return neighbours(events, [entity], levels, [at, key], state, "previous")
 
 
 def with_day(events: DataFrame, at: str) -> DataFrame:

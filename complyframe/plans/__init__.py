@@ -10,6 +10,6 @@ from complyframe.plans import (  # noqa: F401  (importing registers the queries)
     streams,
     windows,
 )
-from complyframe.plans.registry import ORACLES, QUERIES
+from complyframe.plans.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

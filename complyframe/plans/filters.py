@@ -193,7 +193,7 @@ def alerts(t):
 )
 def failed_documents(t):
     log = t.stage_log().withColumn("_day", F.to_date("at"))
-    linked = ordered.neighbour(log, ["document_id"], ["_day"], ["at", "seq"], ["stage"], "_before")
+    linked = ordered.neighbours(log, ["document_id"], ["_day"], ["at", "seq"], ["stage"], "_before")
     last = linked.groupBy("document_id").agg(
         F.max_by(F.struct("stage", "at", F.col("_before.stage").alias("from")), F.struct("at", "seq")).alias("_last")
     )

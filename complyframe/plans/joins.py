@@ -322,10 +322,12 @@ def jurisdiction_comparison(t):
     """SELECT DISTINCT p.product_id, p.market_id, i.substance, 'no_data' AS finding FROM v_places p
        JOIN v_recipes i ON i.product_id = p.product_id
        WHERE NOT EXISTS (SELECT 1 FROM v_current c JOIN v_market_jurisdictions j ON j.jurisdiction = c.jurisdiction
-                         WHERE j.market_id = p.market_id AND c.substance = i.substance)""",
+                         WHERE j.market_id = p.market_id AND c.substance = i.substance
+                           AND c.source_type = 'official_regulation' AND c.confidence >= 0.8)""",
 )
 def coverage_gaps(t):
-    return impact.coverage_gaps(t.places(), t.recipes(), t.current())
+    trusted = t.current().where("source_type = 'official_regulation' AND confidence >= 0.8")
+    return impact.coverage_gaps(t.places(), t.recipes(), trusted)
 
 
 add_view(

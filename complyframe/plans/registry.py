@@ -10,7 +10,7 @@ from complyframe.plans.views import with_views
 from complyframe.sources.fixtures import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TWINS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -21,7 +21,12 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            _TWINS[name] = sql
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """SQL per query, complete with the views it names."""
+    return {name: with_views(sql) for name, sql in _TWINS.items()}
