@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from complyframe.constants import SUBSTANCE_SYNONYMS, UNIT_FACTORS, UNIT_SYNONYMS
+from complyframe.constants import BASE_UNIT, SUBSTANCE_SYNONYMS, UNIT_FACTORS, UNIT_SYNONYMS
 
 AMOUNT = "decimal(18,6)"
 # Java's \s is ASCII unless (?U) is set, and even then leaves out the four
@@ -15,8 +15,17 @@ AMOUNT = "decimal(18,6)"
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
+def _sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, Decimal):
+        return f"CAST({value} AS DECIMAL(18,6))"
+    return str(value)
+
+
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A constant map, parsed in one go and folded by the optimizer."""
+    return F.expr("map(" + ", ".join(_sql_literal(x) for pair in pairs.items() for x in pair) + ")")
 
 
 def name_key(name: Column) -> Column:
@@ -59,21 +68,11 @@ def unit(raw: Column) -> Column:
 
 def convert(value: Column, source: Column, target: Column) -> Column:
     """Convert through the factor table; null where no factor is listed."""
-    factor = reduce(
-        lambda acc, item: acc.when((source == item[0][0]) & (target == item[0][1]), F.lit(item[1]).cast(AMOUNT)),
-        list(UNIT_FACTORS.items())[1:],
-        _first_factor(source, target),
-    )
-    return (value.cast(AMOUNT) * factor).cast(AMOUNT)
-
-
-def _first_factor(source: Column, target: Column) -> Column:
-    (a, b), factor = next(iter(UNIT_FACTORS.items()))
-    return F.when((source == a) & (target == b), F.lit(factor).cast(AMOUNT))
+    factors = literal_map({f"{a}>{b}": factor for (a, b), factor in UNIT_FACTORS.items()})
+    return (value.cast(AMOUNT) * factors[F.concat(source, F.lit(">"), target)]).cast(AMOUNT)
 
 
 def in_base_unit(value: Column, source: Column) -> Column:
     """Every known unit in mg/kg; null for an unknown unit."""
-    from complyframe.constants import BASE_UNIT
-
-    return convert(value, source, F.lit(BASE_UNIT))
+    factors = literal_map({a: factor for (a, b), factor in UNIT_FACTORS.items() if b == BASE_UNIT})
+    return (value.cast(AMOUNT) * factors[source]).cast(AMOUNT)

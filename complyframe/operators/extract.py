@@ -45,8 +45,7 @@ def candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
     part = lambda n: F.regexp_extract("statement", STATEMENT, n)
     return (
         found.withColumn("raw_substance", part(1))
-        .withColumn("limit_value", F.expr("try_cast(regexp_extract(statement, :p, 2) AS DECIMAL(18,6))".replace(
-            ":p", "r'" + STATEMENT + "'")))
+        .withColumn("limit_value", part(2).try_cast(text.AMOUNT))
         .withColumn("raw_unit", F.trim(part(3)))
         .withColumn("_s", text.substance(F.col("raw_substance")))
         .withColumn("unit", text.unit(F.col("raw_unit"))["unit"])
@@ -69,7 +68,7 @@ def candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
 def vague_candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
     """Known substances named without a stated limit: null limit, for review."""
     stated = F.transform(
-        statements(F.col(body)), lambda s: text.substance(F.regexp_extract(s, F.lit(STATEMENT), F.lit(1)))["normalized"]
+        statements(F.col(body)), lambda s: text.substance(F.regexp_extract(s, STATEMENT, 1))["normalized"]
     )
     loose = F.array_except(mentions(F.col(body)), stated)
     return documents.select(key, F.explode(loose).alias("substance")).select(

@@ -149,6 +149,15 @@ def _status(required: str) -> str:
 
 VIEWS["v_req_before"] = _requirements("v_current")
 VIEWS["v_req_after"] = _requirements("v_following")
+VIEWS["v_settled"] = """
+        SELECT c.* FROM v_clauses c JOIN v_verdicts d ON d.clause_id = c.clause_id WHERE d.status = 'active' QUALIFY
+        ROW_NUMBER() OVER (PARTITION BY c.jurisdiction, c.substance, c.product_type, c.clause_type
+          ORDER BY c.effective_date DESC, c.document_date DESC, c.clause_id DESC) = 1"""
+VIEWS["v_req_settled"] = _requirements("v_settled")
+VIEWS["v_status_settled"] = _status("v_req_settled")
+VIEWS["v_settled_changes"] = """
+        SELECT a.product_id, a.market_id, b.status AS was, a.status FROM v_status_settled a
+        JOIN v_status_before b ON a.product_id = b.product_id AND a.market_id = b.market_id WHERE a.status <> b.status"""
 VIEWS["v_req_full"] = _requirements("v_current", "v_ingredients")
 VIEWS["v_status_full"] = _status("v_req_full")
 VIEWS["v_status_before"] = _status("v_req_before")

@@ -6,34 +6,61 @@ same columns.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complyframe.functions import scoring, text
 from complyframe.functions.text import AMOUNT
 from complyframe.operators import impact, reconcile
-from complyframe.sources.tables import scan
+from complyframe.sources.tables import scan, stream_of
 
 
 def _label(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+def _once(view):
+    """Build each view once per set of tables: the plan, not the data."""
+
+    @wraps(view)
+    def built(self, *args, **kwargs):
+        key = (view.__name__, args, tuple(kwargs.items()))
+        if key not in self._built:
+            self._built[key] = view(self, *args, **kwargs)
+        return self._built[key]
+
+    return built
+
+
 class Tables:
     """Lazy views over one folder of test tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, streams: tuple[str, ...] = ()):
+        self.spark, self.folder, self.streams = spark, folder, streams
+        self._built: dict = {}
 
+    @_once
     def table(self, name: str) -> DataFrame:
-        return scan(self.spark, f"{self.folder.rstrip('/')}/{name}.parquet")
+        """One table; as a file stream if it is named among ``streams``."""
+        stored = scan(self.spark, f"{self.folder.rstrip('/')}/{name}.parquet")
+        if name not in self.streams:
+            return stored
+        return stream_of(self.spark, self.folder, stored.schema, f"{name}.parquet")
+
+    def streaming(self, *names: str) -> Tables:
+        """The same tables with some of them read as streams."""
+        return Tables(self.spark, self.folder, names)
 
+    @_once
     def market_jurisdictions(self) -> DataFrame:
         nation = self.table("nation")
         market = _label("market_", F.col("n_nationkey")).alias("market_id")
         both = F.array(_label("R", F.col("n_regionkey")), _label("N", F.col("n_nationkey")))
         return nation.select(market, F.explode(both).alias("jurisdiction"))
 
+    @_once
     def markets(self) -> DataFrame:
         return self.table("nation").select(
             _label("market_", F.col("n_nationkey")).alias("id"),
@@ -42,6 +69,7 @@ class Tables:
             F.array(_label("R", F.col("n_regionkey")), _label("N", F.col("n_nationkey"))).alias("jurisdictions"),
         )
 
+    @_once
     def products(self) -> DataFrame:
         return self.table("part").select(
             F.col("p_partkey").alias("product_id"),
@@ -50,6 +78,7 @@ class Tables:
             _label("N", F.col("p_size") % 25).alias("origin"),
         )
 
+    @_once
     def product_markets(self) -> DataFrame:
         key = F.col("p_partkey")
         targets = F.array(_label("market_", key % 25), _label("market_", (key + 7) % 25))
@@ -57,9 +86,11 @@ class Tables:
             key.alias("product_id"), F.col("p_type").alias("product_type"), F.explode(targets).alias("market_id")
         )
 
+    @_once
     def places(self) -> DataFrame:
         return impact.expand_markets(self.product_markets(), self.market_jurisdictions())
 
+    @_once
     def ingredients(self) -> DataFrame:
         known = F.when(F.col("l_tax") != 0.0, F.col("l_discount").cast(AMOUNT))
         return (
@@ -75,6 +106,7 @@ class Tables:
             )
         )
 
+    @_once
     def recipes(self) -> DataFrame:
         """The principal ingredient of each product; every ninth amount is not measured."""
         key = F.col("p_partkey")
@@ -84,6 +116,7 @@ class Tables:
             F.when(key % 9 != 0, (key % 11 * 100).cast(AMOUNT)).alias("amount_base"),
         )
 
+    @_once
     def clauses(self) -> DataFrame:
         """All clauses in comparable form, with confidence."""
         customers = self.table("customer").select("c_custkey", "c_nationkey")
@@ -133,33 +166,41 @@ class Tables:
             scoring.composite_confidence(F.col("parse_quality"), F.col("self_consistency"), F.col("authority_tier")),
         )
 
+    @_once
     def active(self) -> DataFrame:
         return self.clauses().where("status = 'active'")
 
+    @_once
     def pending(self) -> DataFrame:
         return self.clauses().where("status = 'pending_reconciliation'")
 
+    @_once
     def current(self) -> DataFrame:
         """Before the pending clauses arrive."""
         return reconcile.current_clauses(self.active())
 
+    @_once
     def accepted(self) -> DataFrame:
         """Active clauses and the pending ones that pass the review gate."""
         live = reconcile.needs_review(self.clauses().where("status IN ('active', 'pending_reconciliation')"))
         return live.where("status = 'active' OR NOT gated")
 
+    @_once
     def following(self) -> DataFrame:
         """Current clauses after the pending ones have arrived."""
         return reconcile.current_clauses(self.accepted())
 
+    @_once
     def requirements(self, after: bool = False) -> DataFrame:
         clauses = self.following() if after else self.current()
         return impact.requirements(self.places(), self.recipes(), clauses)
 
+    @_once
     def status(self, after: bool = False) -> DataFrame:
         clauses = self.following() if after else self.current()
         return impact.product_status(self.places(), self.product_markets(), self.recipes(), clauses)
 
+    @_once
     def events(self) -> DataFrame:
         return self.table("events").select(
             "event_id",
@@ -171,6 +212,7 @@ class Tables:
             "props",
         )
 
+    @_once
     def stage_log(self) -> DataFrame:
         kind = F.col("event_type")
         return self.table("events").select(
@@ -185,6 +227,7 @@ class Tables:
             F.col("event_id").alias("seq"),
         )
 
+    @_once
     def limit_docs(self) -> DataFrame:
         doc = F.col("doc_id")
         names = F.array(*[F.lit(n) for n in ("sodium benzoate", "natrium benzoat", "E211", "unlisted extract")])
@@ -198,9 +241,11 @@ class Tables:
         )
         return self.table("documents").select("doc_id", "source", F.concat("text", statement).alias("text"))
 
+    @_once
     def documents(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("document_id"), "text", "lang", "source", "n_chars")
 
+    @_once
     def query_turns(self) -> DataFrame:
         turns = self.table("conversations")
         asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))

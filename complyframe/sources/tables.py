@@ -17,6 +17,12 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return reader.parquet(path)
 
 
+def stream_of(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """A folder of Parquet files as a stream; new files are new rows."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
 def get(df: DataFrame, key: str, value) -> DataFrame:
     """The row with this id; a miss is an empty frame."""
     return df.where(F.col(key) == F.lit(value))

@@ -20,6 +20,9 @@ TABLES = (
 ).split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -35,7 +38,9 @@ def _rows(table) -> tuple[list[str], list[str]]:
 
 def compare(spark: SparkSession, connection, folder: str, name: str, fn, sql: str | None) -> str | None:
     """None when equal, else what differs."""
+    began = time.time()
     got_names, got = _rows(fn(spark, folder).toArrow())
+    TIMES[name] = time.time() - began
     if sql is None:
         return None if got else "no rows"
     want_names, want = _rows(connection.execute(sql).to_arrow_table())
@@ -73,7 +78,7 @@ def main(folder: str, prefixes: list[str]) -> int:
         except Exception as error:  # noqa: BLE001  (report and go on)
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {time.time() - began:6.2f}s {name} {problem or ''}", flush=True)
+        print(f"{'ok ' if problem is None else 'BAD'} {TIMES.get(name, 0):6.2f}s + sql {time.time() - began - TIMES.get(name, 0):6.2f}s {name} {problem or ''}", flush=True)
     print("differing:", bad)
     return bad
 
