@@ -59,22 +59,22 @@ def _chain_slices(clauses: DataFrame) -> DataFrame:
     return clauses.withColumn("_slice", F.struct("document_date", part.alias("part")))
 
 
-def supersede_chain(clauses: DataFrame) -> DataFrame:
+def supersede_chain(clauses: DataFrame, keys: Sequence[str] = SCOPE) -> DataFrame:
     """Add supersedes, superseded_by (neighbours in the scope) and the limit change.
 
     ``change`` is limit_tightened, limit_loosened, or null where nothing changed.
     """
-    payload = ["clause_id", "limit_base"]
     sliced = _chain_slices(clauses.drop("supersedes", "superseded_by"))
     levels = ["effective_date", "_slice"]
-    linked = neighbours(sliced, SCOPE, levels, ["clause_id"], payload, "_before", "_after")
+    linked = neighbours(sliced, keys, levels, ["clause_id"], ["clause_id", "limit_base"], "_before", "_after")
     old, new = F.col("_before.limit_base"), F.col("limit_base")
-    return (
-        linked.withColumn("supersedes", F.col("_before.clause_id"))
-        .withColumn("superseded_by", F.col("_after.clause_id"))
-        .withColumn("change", F.when(new < old, "limit_tightened").when(new > old, "limit_loosened"))
-        .drop("_before", "_after", "_slice")
-    )
+    return linked.withColumns(
+        {
+            "supersedes": F.col("_before.clause_id"),
+            "superseded_by": F.col("_after.clause_id"),
+            "change": F.when(new < old, "limit_tightened").when(new > old, "limit_loosened"),
+        }
+    ).drop("_before", "_after", "_slice")
 
 
 DATES = ("effective_date", "document_date")
@@ -299,7 +299,9 @@ def _cuts(pool: DataFrame) -> DataFrame:
     return ranked.where("_n <= 2").where("_n = 2").select(*SCOPE, "_cut")
 
 
-def verdicts(clauses: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+def verdicts(
+    clauses: DataFrame, settled: DataFrame | None = None, history: DataFrame | None = None
+) -> DataFrame:
     """New status of every active or pending clause, whatever order they came in.
 
     Gated clauses, and pending ones that contradict another at the same dates,
@@ -307,61 +309,53 @@ def verdicts(clauses: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     later one in its scope gives another limit. Everything is one pass over old
     and new together, so the outcome does not depend on arrival order.
 
+    ``history`` holds clauses superseded earlier, in comparable form: what they
+    replaced stays replaced, so arrival in several batches ends the same way.
     ``settled`` (clause_id, verdict) may decide ambiguous clauses: "keep" lets
     one take part, anything else leaves it for review.
     """
-    live = needs_review(clauses.where("status IN ('active', 'pending_reconciliation')"))
+    pending, numeric = F.col("was") == "pending_reconciliation", F.col("clause_type") == "numeric_limit"
+    live = clauses.where("status IN ('active', 'pending_reconciliation')").withColumn("was", F.col("status"))
     # A numeric clause without a usable limit is absent data: for review too.
-    unusable = (F.col("clause_type") == "numeric_limit") & F.col("limit_base").isNull()
-    live = live.withColumn("was", F.col("status")).withColumn("gated", F.col("gated") | unusable)
-    pending = F.col("was") == "pending_reconciliation"
-    taking_part = live.where(~(pending & F.col("gated")))
-    numeric = taking_part.where("clause_type = 'numeric_limit'")
-
-    tie = [*SCOPE, "effective_date", "document_date"]
-    ties = date_conflicts(numeric).select(*tie, F.lit(True).alias("tied"))
-    marked = salted_join(numeric, ties, tie, ["clause_id"], "left")
-    unsettled = F.coalesce("tied", F.lit(False)) & pending
+    usable = F.col("limit_base").isNotNull()
+    live = needs_review(live).withColumn("gated", pending & (F.col("gated") | (numeric & ~usable)))
+    live = live.withColumn("_in", numeric & usable & ~F.col("gated"))
+
+    # Rows that take no part keep _in = false and meet nothing in the joins.
+    tie = [*SCOPE, *DATES, "_in"]
+    ties = date_conflicts(live.where("_in")).withColumns({"_in": F.lit(True), "_tied": F.lit(True)})
+    live = salted_join(live, ties.select(*tie, "_tied"), tie, ["clause_id"], "left")
+    unsettled = F.coalesce("_tied", F.lit(False)) & pending
     if settled is not None:
-        keep = settled.where("verdict = 'keep'").select("clause_id", F.lit(True).alias("kept"))
-        marked = marked.join(keep, "clause_id", "left")
-        unsettled = unsettled & ~F.coalesce("kept", F.lit(False))
-        marked = marked.withColumn("tied", unsettled).drop("kept")
-    else:
-        marked = marked.withColumn("tied", unsettled)
-
-    pool = marked.where("NOT tied").drop("tied")
-    judged = salted_join(pool, _cuts(pool), SCOPE, ["clause_id"], "left")
+        keep = settled.where("verdict = 'keep'").select("clause_id", F.lit(True).alias("_keep")).distinct()
+        live = live.join(keep, "clause_id", "left")
+        unsettled = unsettled & F.col("_keep").isNull()
+    live = live.withColumn("_review", F.col("gated") | unsettled).withColumn("_in", F.col("_in") & ~F.col("_review"))
+
+    limits = [*SCOPE, *RECENCY, "limit_base"]
+    seen = live.where("_in").select(*limits)
+    if history is not None:
+        seen = seen.unionByName(history.where(numeric & usable).select(*limits))
+    cuts = _cuts(seen).withColumn("_in", F.lit(True))
+    live = salted_join(live, cuts, [*SCOPE, "_in"], ["clause_id"], "left")
     replaced = F.coalesce(_recency() <= F.col("_cut"), F.lit(False))
-    chained = supersede_chain(judged.withColumn("_replaced", replaced).drop("_cut"))
-    decided = chained.withColumn("status", F.when(F.col("_replaced"), "superseded").otherwise("active"))
-    decided = (
-        decided.withColumn("superseded_by", F.when(F.col("_replaced"), F.col("superseded_by")))
-        .withColumn("supersedes", F.when(F.col("change").isNotNull(), F.col("supersedes")))
-        .withColumn(
-            "verdict",
-            F.when(F.col("was") == "active", F.when(F.col("_replaced"), "superseded").otherwise("unchanged"))
-            .when(F.col("change").isNotNull(), "supersedes")
-            .when(F.col("_replaced"), "superseded")
+    linked = supersede_chain(live.withColumn("_replaced", replaced), [*SCOPE, "_in"])
+
+    changed = F.col("_in") & F.col("change").isNotNull()
+    gone, review = F.col("_replaced"), F.col("_review")
+    return linked.withColumns(
+        {
+            "status": F.when(review, "needs_review").when(gone, "superseded").otherwise("active"),
+            "verdict": F.when(review, "needs_review")
+            .when(F.col("was") == "active", F.when(gone, "superseded").otherwise("unchanged"))
+            .when(changed, "supersedes")
+            .when(gone, "superseded")
             .otherwise("new"),
-        )
-        .drop("_replaced")
-    )
-    empty = {
-        "supersedes": F.lit(None).cast(dict(decided.dtypes)["supersedes"]),
-        "superseded_by": F.lit(None).cast(dict(decided.dtypes)["superseded_by"]),
-        "change": F.lit(None).cast("string"),
-    }
-    review = (
-        live.where(pending & F.col("gated"))
-        .unionByName(marked.where("tied").drop("tied"))
-        .withColumns({**empty, "status": F.lit("needs_review"), "verdict": F.lit("needs_review")})
-    )
-    other = taking_part.where("clause_type <> 'numeric_limit'").withColumns(
-        {**empty, "status": F.lit("active"), "verdict": F.when(pending, "new").otherwise("unchanged")}
-    )
-    columns = decided.columns
-    return decided.unionByName(review.select(columns)).unionByName(other.select(columns))
+            "supersedes": F.when(changed, F.col("supersedes")),
+            "superseded_by": F.when(gone, F.col("superseded_by")),
+            "change": F.when(changed, F.col("change")),
+        }
+    ).drop("_in", "_tied", "_keep", "_review", "_cut", "_replaced")
 
 
 EVENT_OF_VERDICT = {
