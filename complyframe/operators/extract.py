@@ -93,18 +93,19 @@ def chunks(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
 def relevance(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
     """Per document: chunks, relevant chunks, characters in all and in the relevant ones.
 
-    Counted inside the row, so no chunk leaves its task.
+    Counted inside the row, so no chunk leaves its task; each is matched once.
     """
     any_of = "|".join(pattern for _, pattern in CATEGORIES)
-    parts = F.split(body, "\n")
-    kept = F.filter(parts, lambda p: F.lower(p).rlike(any_of))
-    length = lambda array: F.aggregate(array, F.lit(0), lambda acc, p: acc + F.length(p))
-    return documents.select(
+    mark = lambda p: F.struct(F.length(p).alias("length"), F.lower(p).rlike(any_of).alias("hit"))
+    marked = documents.select(key, F.transform(F.split(body, "\n"), mark).alias("parts"))
+    length = lambda parts: F.aggregate(parts["length"], F.lit(0), lambda acc, n: acc + n)
+    hits = F.filter("parts", lambda p: p["hit"])
+    return marked.select(
         key,
-        F.size(parts).alias("chunks"),
-        F.size(kept).alias("relevant"),
-        length(parts).alias("characters"),
-        length(kept).alias("kept_characters"),
+        F.size("parts").alias("chunks"),
+        F.size(hits).alias("relevant"),
+        length(F.col("parts")).alias("characters"),
+        length(hits).alias("kept_characters"),
     )
 
 

@@ -65,13 +65,13 @@ def strongest_clauses(required: DataFrame, k: int) -> DataFrame:
 
 
 def find_similar(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: int, **where) -> DataFrame:
-    """Top k by cosine against one query vector (a one-row frame with column ``query``)."""
+    """Top k by cosine against one query vector (a frame of one row and one column)."""
     for column, value in where.items():
         if value is not None:
             vectors = vectors.where(F.col(column) == F.lit(value))
-    scored = vectors.join(F.broadcast(query.limit(1)))
+    asked = vectors.withColumn("query", query.scalar())
     score = scoring.cosine(F.col(vector), F.col("query"))
-    return scored.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.asc(key)).limit(k).drop("query")
+    return asked.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), F.asc(key)).limit(k).drop("query")
 
 
 def provenance(branches: Mapping[str, DataFrame], decisions: DataFrame) -> DataFrame:

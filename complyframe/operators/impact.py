@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complyframe.constants import ANY_PRODUCT_TYPE, REVIEW_CONFIDENCE
-from complyframe.functions import scoring
+from complyframe.functions import scoring, text
 from complyframe.operators.joins import salted_join
 
 KEY = ["product_id", "market_id", "clause_id"]
@@ -15,17 +15,26 @@ PAIR = ["product_id", "market_id"]
 
 def expand_markets(product_markets: DataFrame, market_jurisdictions: DataFrame) -> DataFrame:
     """Product × market × every jurisdiction the market inherits."""
-    return product_markets.join(market_jurisdictions, "market_id")
+    return salted_join(product_markets, market_jurisdictions, ["market_id"], ["product_id"])
 
 
 def explode_products(products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(product_markets, ingredients) in long form from nested product rows."""
-    markets = products.select(
-        F.col("id").alias("product_id"), "product_type", F.explode("target_markets").alias("market_id")
-    ).distinct()
+    targets = F.explode(F.array_distinct("target_markets"))
+    markets = products.select(F.col("id").alias("product_id"), "product_type", targets.alias("market_id"))
     lines = products.select(F.col("id").alias("product_id"), F.explode("ingredients").alias("i"))
-    ingredients = lines.select("product_id", F.col("i.normalized").alias("substance"), "i.amount", "i.unit")
-    return markets, ingredients
+    amounts = lines.select(
+        "product_id",
+        F.col("i.normalized").alias("substance"),
+        text.in_base_unit(F.col("i.amount"), F.col("i.unit")).alias("amount_base"),
+    )
+    return markets, whole_amounts(amounts)
+
+
+def whole_amounts(lines: DataFrame) -> DataFrame:
+    """One row per product and substance: amounts add up, and one unknown makes the sum unknown."""
+    total = F.when(F.bool_and(F.col("amount_base").isNotNull()), F.sum("amount_base"))
+    return lines.groupBy("product_id", "substance").agg(total.cast(text.AMOUNT).alias("amount_base"))
 
 
 def explode_markets(markets: DataFrame) -> DataFrame:
@@ -39,18 +48,19 @@ def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame)
     """Which clause binds which product in which market, with the verdict.
 
     ``places``: product_id, product_type, market_id, jurisdiction.
-    ``ingredients``: product_id, substance, amount_base.
+    ``ingredients``: product_id, substance, amount_base; one row per substance.
     ``clauses``: active ones, in comparable form; pass current clauses to keep
     one row per scope.
 
     The condition "same substance, or a non-numeric clause for the product type"
-    is run as equality joins. Only non-numeric rows can match twice, so only
-    they are deduplicated.
+    is run as equality joins. What the type branch shares with the substance
+    branch is taken out of it by an anti-join, which shuffles the small branch
+    where removing duplicates would shuffle everything.
     """
     numeric = F.col("clause_type") == "numeric_limit"
     fields = clauses.select(*CLAUSE_FIELDS, "jurisdiction", "substance", "product_type", "document_id")
     content = places.select(*PAIR, "jurisdiction").join(ingredients, "product_id")
-    found = salted_join(
+    by_substance = salted_join(
         content, fields.drop("product_type"), ["jurisdiction", "substance"], ["product_id", "market_id"]
     )
     scopes = places.withColumn("product_type", F.explode(F.array("product_type", F.lit(ANY_PRODUCT_TYPE))))
@@ -59,18 +69,11 @@ def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame)
         fields.where(~numeric),
         ["jurisdiction", "product_type"],
         ["product_id", "market_id"],
-    )
+    ).join(ingredients.select("product_id", "substance"), ["product_id", "substance"], "left_anti")
     columns = [*PAIR, "jurisdiction", "substance", "clause_id", "document_id", "clause_type", "limit_base", "confidence"]
-    limits = found.where(numeric).select(*columns, "amount_base")
-    no_amount = F.lit(None).cast("decimal(18,6)").alias("amount_base")
-    others = (
-        found.where(~numeric)
-        .select(*columns)
-        .unionByName(by_type.select(*columns))
-        .dropDuplicates(KEY)
-        .select(*columns, no_amount)
-    )
-    return evaluate(limits.unionByName(others))
+    amount = F.when(numeric, F.col("amount_base")).alias("amount_base")
+    no_amount = F.lit(None).cast(text.AMOUNT).alias("amount_base")
+    return evaluate(by_substance.select(*columns, amount).unionByName(by_type.select(*columns, no_amount)))
 
 
 def evaluate(df: DataFrame) -> DataFrame:
@@ -194,7 +197,7 @@ def affected_pairs(places: DataFrame, ingredients: DataFrame, changed: DataFrame
 def impact_chain(changes: DataFrame, required: DataFrame, documents: DataFrame) -> DataFrame:
     """Document → clause → requirement → product → market → severity behind each change."""
     bound = required.where("severity IS NOT NULL").join(changes.select(*PAIR, "was", "status"), PAIR)
-    return bound.join(documents, "document_id", "left")
+    return salted_join(bound, documents, ["document_id"], KEY, "left")
 
 
 def coverage_gaps(places: DataFrame, ingredients: DataFrame, clauses: DataFrame) -> DataFrame:

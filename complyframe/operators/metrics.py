@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from complyframe.constants import EXTRACT_P95_SECONDS, PROPAGATION_SECONDS
 from complyframe.operators.ordered import neighbours, quantiles
+from complyframe.operators.timeline import SLICES, sliced
 
 
 def _count(df: DataFrame, stage: str) -> DataFrame:
@@ -30,8 +31,8 @@ def stage_durations(log: DataFrame) -> DataFrame:
 
     Expects document_id, stage, at, seq. The last stage has no duration.
     """
-    sliced = log.withColumn("_day", F.to_date("at"))
-    linked = neighbours(sliced, ["document_id"], ["_day"], ["at", "seq"], ["at"], before=None, after="_next")
+    steps = sliced(log, "at")
+    linked = neighbours(steps, ["document_id"], SLICES, ["at", "seq"], ["at"], before=None, after="_next")
     return linked.where("_next IS NOT NULL").select(
         "document_id", "stage", "seq", seconds_between(F.col("at"), F.col("_next.at")).alias("seconds")
     )

@@ -48,5 +48,6 @@ def market_prefixes(markets: DataFrame) -> DataFrame:
 def lookup_markets(requests: DataFrame, code: str, markets: DataFrame) -> DataFrame:
     """Add wanted, found and market_id to each request."""
     wanted = requests.withColumn("wanted", F.upper(F.trim(F.coalesce(code, F.lit("")))))
-    joined = wanted.join(market_prefixes(markets), F.col("wanted") == F.col("prefix"), "left").drop("prefix")
+    prefixes = market_prefixes(markets).withColumnRenamed("prefix", "wanted")
+    joined = salted_join(wanted, prefixes, ["wanted"], requests.columns, "left")
     return joined.withColumn("found", F.col("market_id").isNotNull())

@@ -102,6 +102,8 @@ def quantiles(
     consecutive values find the one slice that holds each rank, and only that
     slice is walked. Output: keys, percent, ``value``, ``n``.
     """
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, percents, width).drop("_all")
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
@@ -118,7 +120,7 @@ def quantiles(
         "n",
         F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"),
     ).withColumn("_rank", F.expr("(percent * n + 99) div 100"))
-    target = ranked.join(wanted, keys) if keys else ranked.crossJoin(wanted)
+    target = ranked.join(wanted, keys)
     target = target.where("_rank <= _until AND _rank > _until - _slice_size").select(
         *keys, "percent", "n", "_slice", (F.col("_rank") - F.col("_until") + F.col("_slice_size")).alias("_inner")
     )

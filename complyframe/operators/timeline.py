@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from complyframe.operators.ordered import neighbours, positions
 
 
+# A busy entity is cut into days and those into minutes.
+SLICES = ["_day", "_minute"]
+
+
+def sliced(events: DataFrame, at: str) -> DataFrame:
+    """Add the slice columns for time-ordered neighbours and positions."""
+    return events.withColumns({"_day": F.to_date(at), "_minute": F.date_trunc("minute", F.col(at))})
+
+
 def assemble(edges: Sequence[DataFrame], events: DataFrame) -> DataFrame:
     """Events of a product and of everything it depends on.
 
@@ -38,17 +47,12 @@ def audit_gaps(mutations: DataFrame, events: DataFrame, on: Sequence[str]) -> Da
 
 
 def previous_states(
-    events: DataFrame, entity: str, state: Sequence[str], at: str, key: str, levels: Sequence[str]
+    events: DataFrame, entity: str, state: Sequence[str], at: str, key: str, levels: Sequence[str] = SLICES
 ) -> DataFrame:
     """Add struct ``previous``: the entity's state at its event before."""
     return neighbours(events, [entity], levels, [at, key], state, "previous")
 
 
-def with_day(events: DataFrame, at: str) -> DataFrame:
-    """Add the slice column that keeps one entity's events of a day together."""
-    return events.withColumn("_day", F.to_date(at))
-
-
 def changed_keys(before: Column, after: Column) -> Column:
     """Sorted keys of two maps whose values differ, including keys of one side only."""
     keys = F.array_union(F.map_keys(before), F.map_keys(after))
@@ -56,21 +60,21 @@ def changed_keys(before: Column, after: Column) -> Column:
     return F.array_sort(differing)
 
 
-def transitions(events: DataFrame, entity: str, state: str, at: str, key: str, levels: Sequence[str]) -> DataFrame:
+def transitions(events: DataFrame, entity: str, state: str, at: str, key: str) -> DataFrame:
     """Only the events at which the state differs from the one before; the first counts."""
-    seen = previous_states(events, entity, [state], at, key, levels)
+    seen = previous_states(events, entity, [state], at, key)
     seen = seen.withColumn("was", F.col(f"previous.{state}")).drop("previous")
     return seen.where(~F.col(state).eqNullSafe(F.col("was")))
 
 
 def illegal_moves(
-    events: DataFrame, entity: str, state: str, at: str, key: str, levels: Sequence[str], allowed: Sequence[tuple]
+    events: DataFrame, entity: str, state: str, at: str, key: str, allowed: Sequence[tuple]
 ) -> DataFrame:
     """Moves between states that the machine does not allow.
 
     The allowed list is a handful of fixed pairs, so it is an expression.
     """
-    seen = previous_states(events, entity, [state], at, key, levels)
+    seen = previous_states(events, entity, [state], at, key)
     seen = seen.withColumn("was", F.col(f"previous.{state}")).drop("previous").where("was IS NOT NULL")
     moves = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
     return seen.where(~F.array_contains(moves, F.concat("was", F.lit(">"), state)))
@@ -82,6 +86,16 @@ def latest(events: DataFrame, entity: str, fields: Sequence[str], at: str, key:
     return events.groupBy(entity).agg(newest).select(entity, "_last.*")
 
 
-def journeys(rows: DataFrame, trace: str, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
+def journeys(rows: DataFrame, trace: str, order: Sequence[str]) -> DataFrame:
     """Rows of each trace, numbered in order; long form, so a trace may be of any length."""
-    return positions(rows, [trace], levels, order, "step")
+    return positions(rows, [trace], SLICES, order, "step")
+
+
+def failed_documents(log: DataFrame) -> DataFrame:
+    """Documents whose newest step failed, with the stage they failed from.
+
+    Expects document_id, stage, at, seq.
+    """
+    seen = previous_states(sliced(log, "at"), "document_id", ["stage"], "at", "seq")
+    seen = seen.withColumn("was", F.col("previous.stage"))
+    return latest(seen, "document_id", ["stage", "at", "was"], "at", "seq").where("stage = 'failed'")

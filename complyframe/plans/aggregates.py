@@ -332,8 +332,8 @@ def answer_confidence(t):
        FROM v_events""",
 )
 def trace_journeys(t):
-    sliced = timeline.with_day(t.events(), "occurred_at")
-    rows = timeline.journeys(sliced, "trace_id", ["_day"], ["occurred_at", "event_id"])
+    sliced = timeline.sliced(t.events(), "occurred_at")
+    rows = timeline.journeys(sliced, "trace_id", ["occurred_at", "event_id"])
     return rows.select("trace_id", "event_id", "event_type", "step")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from complyframe.constants import PRODUCT_TYPES
-from complyframe.operators import impact, normalize, ordered, reconcile, validate
+from complyframe.operators import impact, normalize, reconcile, timeline, validate
 from complyframe.plans.registry import query
 from complyframe.plans.views import add_view
 from complyframe.sources import tables as source
@@ -192,13 +192,7 @@ def alerts(t):
        WHERE n = 1 AND stage = 'failed'""",
 )
 def failed_documents(t):
-    log = t.stage_log().withColumn("_day", F.to_date("at"))
-    linked = ordered.neighbours(log, ["document_id"], ["_day"], ["at", "seq"], ["stage"], "_before")
-    last = linked.groupBy("document_id").agg(
-        F.max_by(F.struct("stage", "at", F.col("_before.stage").alias("from")), F.struct("at", "seq")).alias("_last")
-    )
-    return last.where("_last.stage = 'failed'").select(
-        "document_id",
-        F.col("_last.at").alias("failed_at"),
-        F.coalesce("_last.from", F.lit("none")).alias("failed_from"),
+    failed = timeline.failed_documents(t.stage_log())
+    return failed.select(
+        "document_id", F.col("at").alias("failed_at"), F.coalesce("was", F.lit("none")).alias("failed_from")
     )

@@ -9,6 +9,7 @@ from complyframe.functions import text
 from complyframe.functions.ids import content_hash
 from complyframe.operators import extract, grounding, impact, normalize, reconcile, timeline
 from complyframe.operators.impact import KEY, PAIR
+from complyframe.operators.joins import salted_join
 from complyframe.plans.registry import query
 from complyframe.plans.views import add_view
 from complyframe.sources import messages
@@ -208,7 +209,8 @@ def product_type_superset(t):
     products = t.products().select("product_id", "product_type")
     closure = reconcile.type_closure(products.select("product_type").distinct())
     per_type = t.current().groupBy(F.col("product_type").alias("ancestor")).agg(F.count(F.lit(1)).alias("clauses"))
-    return products.join(closure.join(per_type, "ancestor"), "product_type").drop("product_type")
+    counts = closure.join(per_type, "ancestor")
+    return salted_join(products, counts, ["product_type"], ["product_id"]).drop("product_type")
 
 
 @query(

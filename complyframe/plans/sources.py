@@ -163,9 +163,9 @@ def baseline_reset(t):
     again = storage.write_snapshot(baseline, f"{folder}/seed_2")
     report = None
     for name, left in first.items():
-        rows = left.agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("rows"))
-        differing = storage.snapshot_difference(left, again[name]).agg(F.count(F.lit(1)).alias("differing"))
-        line = rows.join(F.broadcast(differing))
+        differing = storage.snapshot_difference(left, again[name]).agg(F.count(F.lit(1)))
+        counted = left.agg(F.count(F.lit(1)).alias("rows"))
+        line = counted.select(F.lit(name).alias("collection"), "rows", differing.scalar().alias("differing"))
         report = line if report is None else report.unionByName(line)
     return report
 
@@ -207,7 +207,7 @@ def source_catalogue(t):
         *[F.lit(x) for i, row in enumerate(SOURCE_CATALOGUE) for x in (row[0], f"src{i}")]
     )
     catalogue = source.source_catalogue(t.spark).withColumn("source", names[F.col("file")])
-    joined = source.with_catalogue(t.documents(), catalogue, ["source"])
+    joined = source.with_catalogue(t.documents(), catalogue, ["source"], "document_id")
     return joined.select(
         "document_id",
         *[

@@ -79,8 +79,8 @@ def effective_date_conflicts(t):
 )
 def event_differences(t):
     state = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("type"), F.col("event_type"))
-    rows = timeline.with_day(t.events().withColumn("state", state), "occurred_at")
-    seen = timeline.previous_states(rows, "entity_id", ["state"], "occurred_at", "event_id", ["_day"])
+    rows = timeline.sliced(t.events().withColumn("state", state), "occurred_at")
+    seen = timeline.previous_states(rows, "entity_id", ["state"], "occurred_at", "event_id")
     before = F.coalesce(F.col("previous.state"), F.create_map().cast("map<string,string>"))
     return seen.select("event_id", F.array_join(timeline.changed_keys(before, F.col("state")), ",").alias("changed"))
 
@@ -92,8 +92,8 @@ def event_differences(t):
        WHERE was IS DISTINCT FROM event_type""",
 )
 def status_transitions(t):
-    rows = timeline.with_day(t.events(), "occurred_at")
-    moved = timeline.transitions(rows, "entity_id", "event_type", "occurred_at", "event_id", ["_day"])
+    rows = timeline.sliced(t.events(), "occurred_at")
+    moved = timeline.transitions(rows, "entity_id", "event_type", "occurred_at", "event_id")
     return moved.select("event_id", "entity_id", F.coalesce("was", F.lit("none")).alias("was"), "event_type")
 
 
@@ -124,8 +124,8 @@ _MOVES_SQL = ", ".join(f"'{a}>{b}'" for a, b in DOCUMENT_MOVES)
           FROM v_stage_log) WHERE was IS NOT NULL AND CONCAT(was, '>', stage) NOT IN ({_MOVES_SQL})""",
 )
 def illegal_transitions(t):
-    rows = timeline.with_day(t.stage_log(), "at")
-    wrong = timeline.illegal_moves(rows, "document_id", "stage", "at", "seq", ["_day"], DOCUMENT_MOVES)
+    rows = timeline.sliced(t.stage_log(), "at")
+    wrong = timeline.illegal_moves(rows, "document_id", "stage", "at", "seq", DOCUMENT_MOVES)
     return wrong.select("document_id", "seq", "was", "stage")
 
 
@@ -171,8 +171,8 @@ def vector_search(t):
        FROM v_events""",
 )
 def timeline_order(t):
-    rows = timeline.with_day(t.events(), "occurred_at")
-    return positions(rows, ["entity_id"], ["_day"], ["occurred_at", "event_id"]).select("entity_id", "event_id", "position")
+    rows = timeline.sliced(t.events(), "occurred_at")
+    return positions(rows, ["entity_id"], timeline.SLICES, ["occurred_at", "event_id"]).select("entity_id", "event_id", "position")
 
 
 @query(

@@ -66,4 +66,5 @@ def fan_out(clauses: DataFrame, topic: str) -> DataFrame:
 def unprocessed(messages: DataFrame, processed: DataFrame, handler: str) -> DataFrame:
     """Drop what this handler has done. A blank message id is never a duplicate."""
     done = processed.where(F.col("handler") == handler).select("message_id").where("message_id <> ''").distinct()
-    return messages.join(done, "message_id", "left_anti")
+    named = messages.where("message_id <> ''").join(done, "message_id", "left_anti")
+    return named.unionByName(messages.where("message_id = ''"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from complyframe.constants import LIST_LIMIT, SEED_MARKETS, SOURCE_CATALOGUE, WORKSPACE_ID
 from complyframe.functions.ids import content_hash
+from complyframe.operators.joins import salted_join
 from complyframe.schemas import CATALOGUE, MARKETS
 
 
@@ -54,8 +55,9 @@ def source_catalogue(spark: SparkSession) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("date") for c in ("in_force_from", "in_force_to")})
 
 
-def with_catalogue(documents: DataFrame, catalogue: DataFrame, on: Sequence[str]) -> DataFrame:
-    return documents.join(catalogue, list(on), "left")
+def with_catalogue(documents: DataFrame, catalogue: DataFrame, on: Sequence[str], key: str) -> DataFrame:
+    """One source may hold most documents, so its key is spread."""
+    return salted_join(documents, catalogue, on, [key], "left")
 
 
 def land_documents(texts: DataFrame) -> DataFrame:
