@@ -41,6 +41,16 @@ def explode_markets(markets: DataFrame) -> DataFrame:
     return markets.select(F.col("id").alias("market_id"), F.explode("jurisdictions").alias("jurisdiction"))
 
 
+def _before_fan_out(places: DataFrame) -> DataFrame:
+    """Products spread over all shuffle partitions, as the join with ingredients needs anyway.
+
+    Each row is about to become hundreds, so the number is fixed here: sized by
+    its present bytes, adaptive execution would leave it to a few tasks.
+    """
+    partitions = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(partitions, "product_id")
+
+
 CLAUSE_FIELDS = ["clause_id", "clause_type", "limit_base", "confidence"]
 
 
@@ -57,6 +67,7 @@ def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame)
     branch is taken out of it by an anti-join, which shuffles the small branch
     where removing duplicates would shuffle everything.
     """
+    places = _before_fan_out(places)
     numeric = F.col("clause_type") == "numeric_limit"
     fields = clauses.select(*CLAUSE_FIELDS, "jurisdiction", "substance", "product_type", "document_id")
     content = places.select(*PAIR, "jurisdiction").join(ingredients, "product_id")
@@ -123,6 +134,7 @@ def product_status(
         F.max(~decidable).alias("doubtful"),
     )
     typed = clauses.where(~numeric).select("jurisdiction", "product_type").distinct()
+    places = _before_fan_out(places)
     content = places.select(*PAIR, "jurisdiction").join(ingredients, "product_id")
     met = salted_join(content, bounds, ["jurisdiction", "substance"], ["product_id", "market_id"])
     amount = F.col("amount_base")

@@ -106,7 +106,7 @@ def portfolio(t):
        UNION ALL SELECT '6 status changes', COUNT(*) FROM v_changes""",
 )
 def stage_funnel(t):
-    decided = reconcile.verdicts(t.clauses()).where("was = 'pending_reconciliation' AND status <> 'needs_review'")
+    decided = reconcile.verdicts(t.stored_clauses()).where("was = 'pending_reconciliation' AND status <> 'needs_review'")
     return metrics.funnel(
         {
             "1 uploaded": t.documents(),
@@ -179,7 +179,7 @@ def ambiguity_rate(t):
 )
 def verdict_distribution(t):
     """With the invariant spelled out as a row: conflicts never stay within a jurisdiction."""
-    decided = reconcile.verdicts(t.clauses()).where("was = 'pending_reconciliation'")
+    decided = reconcile.verdicts(t.stored_clauses()).where("was = 'pending_reconciliation'")
     counts = decided.groupBy("verdict").agg(F.count(F.lit(1)).alias("clauses"))
     places = t.current().select("clause_id", "jurisdiction")
     opened = reconcile.conflicts(t.current())
@@ -407,7 +407,7 @@ def two_pass_agreement(t):
 def document_provenance(t):
     """Everything a document led to: candidates, guardrail decisions, verdicts, stages."""
     checked = validate.check_candidates(extract.candidates(t.limit_docs(), "doc_id"))
-    decided = reconcile.verdicts(t.clauses()).where("was = 'pending_reconciliation'")
+    decided = reconcile.verdicts(t.stored_clauses()).where("was = 'pending_reconciliation'")
     return grounding.provenance(
         {
             "candidate": checked.select(

@@ -32,7 +32,7 @@ def name_key(t):
 
 @query(
     "h03_name_parts",
-    r"""SELECT product_id, n - 1 AS position, TRIM(part) AS part FROM (
+    r"""SELECT product_id, CAST(n - 1 AS INTEGER) AS position, TRIM(part) AS part FROM (
           SELECT product_id, UNNEST(parts) AS part, UNNEST(RANGE(1, LEN(parts) + 1)) AS n FROM (
             SELECT product_id, REGEXP_SPLIT_TO_ARRAY(COALESCE(TRIM(REGEXP_REPLACE(LOWER(name), '\s+', ' ', 'g')), ''),
               '[(),/]') AS parts FROM v_names))""",

@@ -109,7 +109,7 @@ def patch_products(t):
          COALESCE(change, 'none') AS change FROM v_verdicts""",
 )
 def apply_verdicts(t):
-    decided = reconcile.verdicts(t.clauses())
+    decided = reconcile.verdicts(t.stored_clauses())
     return decided.select(
         "clause_id",
         "was",
@@ -128,7 +128,7 @@ def apply_verdicts(t):
        WHERE was <> status""",
 )
 def verdict_events(t):
-    return reconcile.verdict_events(reconcile.verdicts(t.clauses())).select("entity_id", "event_type")
+    return reconcile.verdict_events(reconcile.verdicts(t.stored_clauses())).select("entity_id", "event_type")
 
 
 add_view(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from complyframe.functions import scoring, text
 from complyframe.functions.text import AMOUNT
 from complyframe.operators import impact, reconcile
+from complyframe.sources import storage
 from complyframe.sources.tables import scan, stream_of
 
 
@@ -166,6 +167,15 @@ class Tables:
             scoring.composite_confidence(F.col("parse_quality"), F.col("self_consistency"), F.col("authority_tier")),
         )
 
+    @_once
+    def stored_clauses(self) -> DataFrame:
+        """The clause collection as a table, for work that passes over it several times."""
+        return self._stored(self.clauses())
+
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """A written table has a known size, by which Spark picks broadcast or shuffle."""
+        return storage.written(rows, storage.run_folder(self.spark))
+
     @_once
     def active(self) -> DataFrame:
         return self.clauses().where("status = 'active'")
@@ -177,7 +187,7 @@ class Tables:
     @_once
     def current(self) -> DataFrame:
         """Before the pending clauses arrive."""
-        return reconcile.current_clauses(self.active())
+        return self._stored(reconcile.current_clauses(self.active()))
 
     @_once
     def accepted(self) -> DataFrame:
@@ -188,7 +198,7 @@ class Tables:
     @_once
     def following(self) -> DataFrame:
         """Current clauses after the pending ones have arrived."""
-        return reconcile.current_clauses(self.accepted())
+        return self._stored(reconcile.current_clauses(self.accepted()))
 
     @_once
     def requirements(self, after: bool = False) -> DataFrame:

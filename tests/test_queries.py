@@ -36,6 +36,12 @@ def test_entry(spark):
     assert driver.entry(spark).columns == ["product_id", "market_id", "status"]
 
 
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = driver.queries()["a03_point_lookup"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,1042)" in plan
+    assert "o_totalprice" not in plan and "n_name" not in plan and "c_name" not in plan
+
+
 @pytest.mark.parametrize(
     "name",
     ["b09_market_lookup", "c05_requirements", "c06_requirement_changes", "c08_guardrail_decisions", "c10_relationships",
