@@ -52,10 +52,10 @@ def compare(spark: SparkSession, connection, folder: str, name: str, fn, sql: st
     return None if got else "equal but empty"
 
 
-def session(cpus: int = 8) -> SparkSession:
+def session(cpus: int = 8, partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")

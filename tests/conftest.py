@@ -11,6 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from compare import session
 
-    spark = session()
+    spark = session(partitions=2)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
