@@ -10,6 +10,7 @@ Pieces then take their places by their rank among those of their length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -25,7 +26,7 @@ from complyframe.operators.ordered import positions
 
 CAPACITY, END = 2048, 0
 #: Ids of this many text pieces are remembered by a Python worker.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 700_000, 48
 #: Fillings looked at for one largest piece, and decisions in all, before the best so far is taken.
 FILLINGS, DECISIONS = 128, 4_000
 #: Next lengths tried at each place of a filling, from the largest that fits.
@@ -56,16 +57,14 @@ class Tokens:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [segments(text) for text in texts]
         known = self.known
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {piece for pieces in cut for piece in pieces}
-        listed = list(new)
-        for piece, found in zip(listed, self.library.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
+        new = list({piece for pieces in cut for piece in pieces if piece not in known})
+        room = REMEMBERED - len(known)
+        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[piece] = array("I", found.ids).tobytes()
         ids = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in listed:
-            if len(piece) > LONGEST_REMEMBERED:
+        # Frequent pieces come early and stay; once the room is used up, the rest is forgotten again.
+        for k, piece in enumerate(new):
+            if k >= room or len(piece) > LONGEST_REMEMBERED:
                 del known[piece]
         return ids
 
