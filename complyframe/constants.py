@@ -5,50 +5,116 @@ from __future__ import annotations
 from decimal import Decimal
 
 # --- Fixed values -----------------------------------------------------------
-# Canonical substance: the spellings that map to it. The list is literal on
-# purpose; a spelling that is not here stays unrecognised and flagged.
-_SUBSTANCES = """
-sodium_benzoate: sodium benzoate, natrium benzoat, natrium benzoate, e211, e 211, ins 211, benzoate of soda
-benzoic_acid: benzoic acid, asam benzoat, e210, e 210, ins 210
-potassium_benzoate: potassium benzoate, kalium benzoat, e212, ins 212
-calcium_benzoate: calcium benzoate, kalsium benzoat, e213, ins 213
-sorbic_acid: sorbic acid, asam sorbat, e200, ins 200
-potassium_sorbate: potassium sorbate, kalium sorbat, e202, ins 202
-sulphur_dioxide: sulphur dioxide, sulfur dioxide, sulfur dioksida, e220, ins 220
-citric_acid: citric acid, asam sitrat, e330, ins 330
-ascorbic_acid: ascorbic acid, asam askorbat, vitamin c, e300, ins 300
-ginger: ginger, jahe, zingiber officinale
-turmeric: turmeric, kunyit, curcuma longa
-honey_powder: honey powder, bubuk madu, madu bubuk
-cinnamon: cinnamon, kayu manis
-sucrose: sucrose, sugar, gula, sukrosa
-salt: salt, garam, sodium chloride
-maltodextrin: maltodextrin, maltodekstrin
-stevia: stevia, steviol glycosides, e960, ins 960
-aspartame: aspartame, aspartam, e951, ins 951
-tartrazine: tartrazine, tartrazin, e102, ins 102
-carmine: carmine, karmin, cochineal, e120, ins 120
-"""
+# Spelling to canonical substance. The list is literal on purpose; a spelling
+# that is not here stays unrecognised and flagged.
+SUBSTANCE_SYNONYMS = {
+    "sodium benzoate": "sodium_benzoate",
+    "natrium benzoat": "sodium_benzoate",
+    "natrium benzoate": "sodium_benzoate",
+    "e211": "sodium_benzoate",
+    "e 211": "sodium_benzoate",
+    "ins 211": "sodium_benzoate",
+    "benzoate of soda": "sodium_benzoate",
+    "benzoic acid": "benzoic_acid",
+    "asam benzoat": "benzoic_acid",
+    "e210": "benzoic_acid",
+    "e 210": "benzoic_acid",
+    "ins 210": "benzoic_acid",
+    "potassium benzoate": "potassium_benzoate",
+    "kalium benzoat": "potassium_benzoate",
+    "e212": "potassium_benzoate",
+    "ins 212": "potassium_benzoate",
+    "calcium benzoate": "calcium_benzoate",
+    "kalsium benzoat": "calcium_benzoate",
+    "e213": "calcium_benzoate",
+    "ins 213": "calcium_benzoate",
+    "sorbic acid": "sorbic_acid",
+    "asam sorbat": "sorbic_acid",
+    "e200": "sorbic_acid",
+    "ins 200": "sorbic_acid",
+    "potassium sorbate": "potassium_sorbate",
+    "kalium sorbat": "potassium_sorbate",
+    "e202": "potassium_sorbate",
+    "ins 202": "potassium_sorbate",
+    "sulphur dioxide": "sulphur_dioxide",
+    "sulfur dioxide": "sulphur_dioxide",
+    "sulfur dioksida": "sulphur_dioxide",
+    "e220": "sulphur_dioxide",
+    "ins 220": "sulphur_dioxide",
+    "citric acid": "citric_acid",
+    "asam sitrat": "citric_acid",
+    "e330": "citric_acid",
+    "ins 330": "citric_acid",
+    "ascorbic acid": "ascorbic_acid",
+    "asam askorbat": "ascorbic_acid",
+    "vitamin c": "ascorbic_acid",
+    "e300": "ascorbic_acid",
+    "ins 300": "ascorbic_acid",
+    "ginger": "ginger",
+    "jahe": "ginger",
+    "zingiber officinale": "ginger",
+    "turmeric": "turmeric",
+    "kunyit": "turmeric",
+    "curcuma longa": "turmeric",
+    "honey powder": "honey_powder",
+    "bubuk madu": "honey_powder",
+    "madu bubuk": "honey_powder",
+    "cinnamon": "cinnamon",
+    "kayu manis": "cinnamon",
+    "sucrose": "sucrose",
+    "sugar": "sucrose",
+    "gula": "sucrose",
+    "sukrosa": "sucrose",
+    "salt": "salt",
+    "garam": "salt",
+    "sodium chloride": "salt",
+    "maltodextrin": "maltodextrin",
+    "maltodekstrin": "maltodextrin",
+    "stevia": "stevia",
+    "steviol glycosides": "stevia",
+    "e960": "stevia",
+    "ins 960": "stevia",
+    "aspartame": "aspartame",
+    "aspartam": "aspartame",
+    "e951": "aspartame",
+    "ins 951": "aspartame",
+    "tartrazine": "tartrazine",
+    "tartrazin": "tartrazine",
+    "e102": "tartrazine",
+    "ins 102": "tartrazine",
+    "carmine": "carmine",
+    "karmin": "carmine",
+    "cochineal": "carmine",
+    "e120": "carmine",
+    "ins 120": "carmine",
+}
 
-# Unit: the spellings that map to it.
-_UNITS = """
-percent_w_w: %, percent, percent_w_w, % w/w, w/w
-mg_per_kg: mg/kg, mg per kg, mg_per_kg
-ppm: ppm, parts per million
-"""
+# Spelling to unit.
+UNIT_SYNONYMS = {
+    "%": "percent_w_w",
+    "percent": "percent_w_w",
+    "percent_w_w": "percent_w_w",
+    "% w/w": "percent_w_w",
+    "w/w": "percent_w_w",
+    "mg/kg": "mg_per_kg",
+    "mg per kg": "mg_per_kg",
+    "mg_per_kg": "mg_per_kg",
+    "ppm": "ppm",
+    "parts per million": "ppm",
+}
 
-# From unit, to unit, factor. Nothing else converts.
-_UNIT_FACTORS = """
-percent_w_w percent_w_w 1
-percent_w_w mg_per_kg 10000
-percent_w_w ppm 10000
-mg_per_kg percent_w_w 0.0001
-mg_per_kg mg_per_kg 1
-mg_per_kg ppm 1
-ppm percent_w_w 0.0001
-ppm mg_per_kg 1
-ppm ppm 1
-"""
+# From unit, to unit: factor. Nothing else converts.
+UNIT_FACTORS = {
+    ("percent_w_w", "percent_w_w"): Decimal("1"),
+    ("percent_w_w", "mg_per_kg"): Decimal("10000"),
+    ("percent_w_w", "ppm"): Decimal("10000"),
+    ("mg_per_kg", "percent_w_w"): Decimal("0.0001"),
+    ("mg_per_kg", "mg_per_kg"): Decimal("1"),
+    ("mg_per_kg", "ppm"): Decimal("1"),
+    ("ppm", "percent_w_w"): Decimal("0.0001"),
+    ("ppm", "mg_per_kg"): Decimal("1"),
+    ("ppm", "ppm"): Decimal("1"),
+}
 
 PRODUCT_TYPES = ("food_beverage_powder", "food_beverage_liquid", "food_solid", "supplement", "cosmetic")
 CLAUSE_TYPES = ("numeric_limit", "documentation", "labeling", "certification", "other")
@@ -132,19 +198,3 @@ CLAUSE_MOVES = (
     ("needs_review", "active"),
 )
 CONFLICT_MOVES = (("open", "resolved"),)
-
-
-def _spellings(text: str) -> dict[str, str]:
-    pairs = {}
-    for line in text.strip().splitlines():
-        canonical, spellings = line.split(": ", 1)
-        pairs.update((s.strip(), canonical) for s in spellings.split(", "))
-    return pairs
-
-
-SUBSTANCE_SYNONYMS = _spellings(_SUBSTANCES)
-UNIT_SYNONYMS = _spellings(_UNITS)
-UNIT_FACTORS = {
-    (source, target): Decimal(factor)
-    for source, target, factor in (line.split() for line in _UNIT_FACTORS.strip().splitlines())
-}

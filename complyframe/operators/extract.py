@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complyframe.constants import SUBSTANCE_SYNONYMS
+from complyframe.constants import SUBSTANCE_SYNONYMS, UNIT_SYNONYMS
 from complyframe.functions import text
 from complyframe.operators.joins import salted_join
 
-# Ours: how a limit is stated in prose. Groups: substance, number, raw unit.
-STATEMENT = (
-    r"(?i)(?:maximum|permitted) (?:level|limit|amount) of ([^.\n]{1,200}?) is "
-    r"([0-9]+(?:\.[0-9]+)?) ?([a-z%][a-z/% ]*)"
-)
+# Ours: how a limit is stated in prose. Groups: substance, number, raw unit. The
+# listed unit spellings go first, so that prose behind them is not taken along.
+_LISTED_UNITS = "|".join(re.escape(u) for u in sorted(UNIT_SYNONYMS, key=lambda u: (-len(u), u)))
+OPENING = r"(?:maximum|permitted) (?:level|limit|amount) of "
+NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
+STATEMENT = rf"(?i){OPENING}([^\n]+?) is ({NUMBER}) ?((?:{_LISTED_UNITS})(?![a-z/_])|[a-z%][a-z/% ]*)"
 
 # Ours: what makes a section worth extracting from, tried in this order.
 CATEGORIES = (
@@ -39,13 +41,24 @@ def statements(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(0))
 
 
+def stated_substance(statement: Column) -> Column:
+    """The name between the last opening and the number."""
+    return F.regexp_replace(F.regexp_extract(statement, STATEMENT, 1), f"(?i)^.*{OPENING}", "")
+
+
+def stated_number(digits: Column) -> Column:
+    """Commas before three digits group thousands, another comma is a decimal one."""
+    grouped = digits.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.|$)")
+    return F.when(grouped, F.replace(digits, F.lit(","))).otherwise(F.replace(digits, F.lit(","), F.lit("."))).try_cast(text.AMOUNT)
+
+
 def candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
     """One row per limit statement of the whole text, nothing filtered out."""
     found = documents.select(key, F.posexplode(statements(F.col(body))).alias("ordinal", "statement"))
     part = lambda n: F.regexp_extract("statement", STATEMENT, n)
     return (
-        found.withColumn("raw_substance", part(1))
-        .withColumn("limit_value", part(2).try_cast(text.AMOUNT))
+        found.withColumn("raw_substance", stated_substance(F.col("statement")))
+        .withColumn("limit_value", stated_number(part(2)))
         .withColumn("raw_unit", F.trim(part(3)))
         .withColumn("_s", text.substance(F.col("raw_substance")))
         .withColumn("unit", text.unit(F.col("raw_unit"))["unit"])
@@ -68,7 +81,7 @@ def candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
 def vague_candidates(documents: DataFrame, key: str, body: str = "text") -> DataFrame:
     """Known substances named without a stated limit: null limit, for review."""
     stated = F.transform(
-        statements(F.col(body)), lambda s: text.substance(F.regexp_extract(s, STATEMENT, 1))["normalized"]
+        statements(F.col(body)), lambda s: text.substance(stated_substance(s))["normalized"]
     )
     loose = F.array_except(mentions(F.col(body)), stated)
     return documents.select(key, F.explode(loose).alias("substance")).select(

@@ -58,15 +58,17 @@ def duration_report(durations: DataFrame) -> DataFrame:
 
 
 def end_to_end(events: DataFrame, start: str, end: str, limit: int = PROPAGATION_SECONDS) -> DataFrame:
-    """First start to first end per trace, in seconds; expects trace_id, event_type, occurred_at."""
+    """First start to the first end at or after it, per trace, in seconds; expects trace_id, event_type, occurred_at.
+
+    Ends before the start belong to something else. A start without an end has
+    no seconds and is a breach.
+    """
     at = F.col("occurred_at")
-    per_trace = events.groupBy("trace_id").agg(
-        F.min(F.when(F.col("event_type") == start, at)).alias("started"),
-        F.min(F.when(F.col("event_type") == end, at)).alias("ended"),
-    )
-    timed = per_trace.where("started IS NOT NULL AND ended >= started")
-    timed = timed.withColumn("seconds", seconds_between(F.col("started"), F.col("ended")))
-    return timed.withColumn("breach", F.col("seconds") > limit).drop("started", "ended")
+    began = events.where(F.col("event_type") == start).groupBy("trace_id").agg(F.min("occurred_at").alias("started"))
+    ends = events.where(F.col("event_type") == end).select("trace_id", at.alias("ended"))
+    later = ends.join(began, "trace_id").where("ended >= started").groupBy("trace_id").agg(F.min("ended").alias("ended"))
+    timed = began.join(later, "trace_id", "left").withColumn("seconds", seconds_between(F.col("started"), F.col("ended")))
+    return timed.withColumn("breach", F.coalesce(F.col("seconds") > limit, F.lit(True))).drop("started", "ended")
 
 
 def gauges(**flags: tuple[DataFrame, Column]) -> DataFrame:

@@ -21,6 +21,22 @@ def id_slice(column: str, rows: int = 1 << 17) -> Column:
     return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
 
 
+def _ascending(columns: Sequence[str]) -> list[Column]:
+    """Rows without a value come last, in windows as in :func:`_rank`."""
+    return [F.asc_nulls_last(c) for c in columns]
+
+
+def _rank(columns: Sequence[str]) -> Column:
+    return F.struct(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])
+
+
+def _joined(rows: DataFrame, slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which any may be null: a null key is a key."""
+    renamed = slices.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return rows.join(renamed, same, "left").drop(*[f"_on_{k}" for k in keys])
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,7 +61,7 @@ def neighbours(
 def _link(df, keys, levels, order, before, after):
     """``_last`` and ``_first`` are what a row shows to the row after and before it."""
     slice_keys = keys + levels
-    window = Window.partitionBy(*slice_keys).orderBy(*order)
+    window = Window.partitionBy(*slice_keys).orderBy(*_ascending(order))
     linked = df
     if before:
         linked = linked.withColumn(before, F.lag("_last").over(window))
@@ -55,13 +71,13 @@ def _link(df, keys, levels, order, before, after):
         return linked
     edges = []
     if before:
-        edges.append(F.max_by("_last", F.struct(*order)).alias("_last"))
+        edges.append(F.max_by("_last", _rank(order)).alias("_last"))
     if after:
-        edges.append(F.min_by("_first", F.struct(*order)).alias("_first"))
+        edges.append(F.min_by("_first", _rank(order)).alias("_first"))
     outer = {name: f"_{side}_{len(levels)}" for side, name in (("before", before), ("after", after)) if name}
     summary = df.groupBy(*slice_keys).agg(*edges)
     beyond = _link(summary, keys, levels[:-1], levels[-1:], outer.get(before), outer.get(after))
-    joined = linked.join(beyond.drop("_last", "_first"), slice_keys, "left")
+    joined = _joined(linked, beyond.drop("_last", "_first"), slice_keys)
     return joined.withColumns({name: F.coalesce(name, far) for name, far in outer.items()}).drop(*outer.values())
 
 
@@ -70,26 +86,26 @@ def positions(
 ) -> DataFrame:
     """Add the 1-based rank of each row within its group (order must be unique)."""
     slice_keys = [*keys, *levels]
-    window = Window.partitionBy(*slice_keys).orderBy(*order)
+    window = Window.partitionBy(*slice_keys).orderBy(*_ascending(order))
     ranked = df.withColumn(name, F.row_number().over(window).cast("bigint"))
     if not levels:
         return ranked
     sizes = df.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_size"))
     offsets = _running(sizes, list(keys), list(levels)).drop("_size")
-    joined = ranked.join(offsets, slice_keys)
+    joined = _joined(ranked, offsets, slice_keys)
     return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
 def _running(sizes: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
     """Add ``_before``: how many rows the earlier slices of the group hold."""
-    within = Window.partitionBy(*keys, *levels[:-1]).orderBy(levels[-1])
+    within = Window.partitionBy(*keys, *levels[:-1]).orderBy(*_ascending(levels[-1:]))
     running = sizes.withColumn("_before", F.sum("_size").over(within) - F.col("_size"))
     if len(levels) == 1:
         return running
     parent = [*keys, *levels[:-1]]
     above = sizes.groupBy(*parent).agg(F.sum("_size").alias("_size"))
     offsets = _running(above, keys, levels[:-1]).select(*parent, F.col("_before").alias("_above"))
-    joined = running.join(offsets, parent)
+    joined = _joined(running, offsets, parent)
     return joined.withColumn("_before", F.col("_before") + F.col("_above")).drop("_above")
 
 

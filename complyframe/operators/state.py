@@ -82,12 +82,23 @@ def changed_fields_json(fields: Sequence[str], changed: dict[str, Column], value
     return F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}"))
 
 
+def folded_patches(patches: DataFrame, key: str, at: str) -> DataFrame:
+    """One patch per id: of each field the last value given, by ``at``; ties go to the larger value."""
+    fields = [c for c in patches.columns if c not in (key, at)]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).cast("string")))).alias(c) for c in fields]
+    return patches.groupBy(key).agg(*last)
+
+
 def patch_rows(base: DataFrame, patches: DataFrame, key: str, upper: Sequence[str] = ("origin",)) -> DataFrame:
     """Every base row with its patch applied, ``changed`` and JSON ``before``/``after``.
 
     Null leaves a field as it is. A field given the value it has still counts
-    as changed.
+    as changed. Several patches of one id are folded first: by ``patched_at``
+    where they have that column, else field by field, the largest value last.
     """
+    if "patched_at" not in patches.columns:
+        patches = patches.withColumn("patched_at", F.lit(0))
+    patches = folded_patches(patches, key, "patched_at")
     fields = [c for c in patches.columns if c != key]
     p = patches.select(
         key, *[(F.upper(c) if c in upper else F.col(c)).alias(f"_{c}") for c in fields]

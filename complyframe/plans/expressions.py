@@ -99,11 +99,11 @@ def authority_tier(t):
     """SELECT c.clause_id, i.product_id, CASE WHEN c.clause_type = 'numeric_limit' AND i.substance <> c.substance
          THEN 'not_applicable' WHEN c.confidence < 0.5 OR c.clause_type <> 'numeric_limit' OR i.amount_base IS NULL
          THEN 'needs_review' WHEN i.amount_base <= c.limit_base THEN 'pass' ELSE 'fail' END AS evaluation
-       FROM v_clauses c JOIN v_recipes i ON i.product_id = c.clause_id""",
+       FROM v_clauses c JOIN v_ingredients i ON i.product_id = c.clause_id""",
 )
 def evaluation(t):
     """Every clause against the product of the same number."""
-    recipes = t.recipes().select(
+    recipes = t.ingredients().select(
         F.col("product_id"), F.col("substance").alias("ingredient"), F.col("amount_base").alias("amount")
     )
     met = t.clauses().join(recipes, F.col("clause_id") == F.col("product_id"))
@@ -135,13 +135,13 @@ add_view(
        FROM (SELECT p.product_id, p.market_id, c.clause_id, CASE WHEN c.confidence < 0.5 OR i.amount_base IS NULL
                THEN 'needs_review' WHEN i.amount_base <= c.limit_base THEN 'pass' ELSE 'fail' END AS evaluation
              FROM v_places p JOIN v_latest_any c ON c.jurisdiction = p.jurisdiction AND c.clause_type = 'numeric_limit'
-             JOIN v_recipes i ON i.product_id = p.product_id AND i.substance = c.substance) r
+             JOIN v_ingredients i ON i.product_id = p.product_id AND i.substance = c.substance) r
        LEFT JOIN v_unresolved u ON u.clause_id = r.clause_id GROUP BY 1, 2, 3""",
 )
 def severity(t):
     known = t.clauses().where("status IN ('active', 'superseded')")
     latest = reconcile.current_clauses(known).where("clause_type = 'numeric_limit'")
-    required = impact.requirements(t.places(), t.recipes(), latest)
+    required = impact.requirements(t.places(), t.ingredients(), latest)
     flagged = impact.unresolved(required, known)
     counts = flagged.groupBy("evaluation", F.coalesce("severity", F.lit("none")).alias("severity"), "unresolved")
     return counts.agg(F.count(F.lit(1)).alias("requirements"))

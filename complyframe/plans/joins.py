@@ -247,13 +247,13 @@ def binding_limits(t):
     "c13_impact_propagation",
     """SELECT DISTINCT p.product_id, p.market_id FROM v_places p
        JOIN v_following c ON c.jurisdiction = p.jurisdiction AND c.status = 'pending_reconciliation'
-       LEFT JOIN v_recipes i ON i.product_id = p.product_id AND i.substance = c.substance
+       LEFT JOIN v_ingredients i ON i.product_id = p.product_id AND i.substance = c.substance
        WHERE i.product_id IS NOT NULL
           OR (c.clause_type <> 'numeric_limit' AND c.product_type IN (p.product_type, '*'))""",
 )
 def impact_propagation(t):
     changed = t.following().where("status = 'pending_reconciliation'")
-    return impact.affected_pairs(t.places(), t.recipes(), changed)
+    return impact.affected_pairs(t.places(), t.ingredients(), changed)
 
 
 @query(
@@ -322,14 +322,14 @@ def jurisdiction_comparison(t):
 @query(
     "c17_coverage_gaps",
     """SELECT DISTINCT p.product_id, p.market_id, i.substance, 'no_data' AS finding FROM v_places p
-       JOIN v_recipes i ON i.product_id = p.product_id
+       JOIN v_ingredients i ON i.product_id = p.product_id
        WHERE NOT EXISTS (SELECT 1 FROM v_current c JOIN v_market_jurisdictions j ON j.jurisdiction = c.jurisdiction
                          WHERE j.market_id = p.market_id AND c.substance = i.substance
                            AND c.source_type = 'official_regulation' AND c.confidence >= 0.8)""",
 )
 def coverage_gaps(t):
     trusted = t.current().where("source_type = 'official_regulation' AND confidence >= 0.8")
-    return impact.coverage_gaps(t.places(), t.recipes(), trusted)
+    return impact.coverage_gaps(t.places(), t.ingredients(), trusted)
 
 
 add_view(

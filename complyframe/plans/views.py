@@ -40,10 +40,6 @@ VIEWS: dict[str, str] = {
                CAST(MAX(CASE WHEN l_tax = 0.0 THEN NULL ELSE CAST(l_discount AS DECIMAL(10,6)) END)
                     * CAST(10000 AS DECIMAL(6,0)) AS DECIMAL(18,6)) AS amount_base
         FROM lineitem GROUP BY l_partkey, l_suppkey % 20""",
-    "v_recipes": """
-        SELECT p_partkey AS product_id, CONCAT('sub_', CAST(p_size % 20 AS STRING)) AS substance,
-               CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_partkey % 11 * 100 AS DECIMAL(18,6)) END AS amount_base
-        FROM part""",
     "v_clause_rows": """
         SELECT o.o_orderkey AS clause_id, o.o_orderkey % 1000 AS document_id,
           CONCAT('sub_', CAST(o.o_orderkey % 20 AS STRING)) AS substance,
@@ -121,7 +117,7 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _requirements(clauses: str, ingredients: str = "v_recipes") -> str:
+def _requirements(clauses: str, ingredients: str = "v_ingredients") -> str:
     return f"""
         SELECT *, CASE evaluation WHEN 'fail' THEN 'high' WHEN 'needs_review' THEN 'medium' END AS severity FROM (
           SELECT p.product_id, p.market_id, p.jurisdiction, c.substance, c.clause_id, c.document_id, c.clause_type,

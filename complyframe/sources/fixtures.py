@@ -107,16 +107,6 @@ class Tables:
             )
         )
 
-    @_once
-    def recipes(self) -> DataFrame:
-        """The principal ingredient of each product; every ninth amount is not measured."""
-        key = F.col("p_partkey")
-        return self.table("part").select(
-            key.alias("product_id"),
-            _label("sub_", F.col("p_size") % 20).alias("substance"),
-            F.when(key % 9 != 0, (key % 11 * 100).cast(AMOUNT)).alias("amount_base"),
-        )
-
     @_once
     def clauses(self) -> DataFrame:
         """All clauses in comparable form, with confidence."""
@@ -203,12 +193,12 @@ class Tables:
     @_once
     def requirements(self, after: bool = False) -> DataFrame:
         clauses = self.following() if after else self.current()
-        return impact.requirements(self.places(), self.recipes(), clauses)
+        return impact.requirements(self.places(), self.ingredients(), clauses)
 
     @_once
     def status(self, after: bool = False) -> DataFrame:
         clauses = self.following() if after else self.current()
-        return impact.product_status(self.places(), self.product_markets(), self.recipes(), clauses)
+        return impact.product_status(self.places(), self.product_markets(), self.ingredients(), clauses)
 
     @_once
     def events(self) -> DataFrame:

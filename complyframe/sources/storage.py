@@ -13,7 +13,9 @@ def run_folder(spark: SparkSession) -> str:
     """A fresh folder under the shared one named by ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        # No cluster folder: a single-machine test session.
+        # Executors of a cluster would each write to a disk of their own.
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/complyframe/{uuid.uuid4().hex}"
 

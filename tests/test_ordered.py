@@ -63,3 +63,16 @@ def test_nearest_by_tiles_is_exact(spark):
         others = [j for j, b, _ in rows if b == block and j != i]
         best = sorted(others, key=lambda j: (-round(float(unit[i] @ unit[j]), 6), j))[:4]
         assert [n for _, n in sorted(found[i])] == best
+
+
+def test_rows_without_a_slice_come_last(spark):
+    """Undated rows keep their place at the end of their group, and so do groups without a key."""
+    from complyframe.operators.ordered import neighbours, positions
+
+    rows = [("a", 2, 4), ("a", None, 1), ("a", 1, 3), ("a", None, 2), (None, 1, 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "k string, day int, id int")
+    placed = {r.id: r.position for r in positions(df, ["k"], ["day"], ["id"]).collect()}
+    assert placed == {3: 1, 4: 2, 1: 3, 2: 4, 5: 1, 6: 2}
+    linked = neighbours(df, ["k"], ["day"], ["id"], ["id"], "before", "after").collect()
+    links = {r.id: (r.before and r.before.id, r.after and r.after.id) for r in linked}
+    assert links == {3: (None, 4), 4: (3, 1), 1: (4, 2), 2: (1, None), 5: (None, 6), 6: (5, None)}

@@ -305,3 +305,52 @@ def test_evaluation_table(spark):
                 F.lit(amount).cast("decimal(18,6)"), F.lit(limit).cast("decimal(18,6)")).alias("e")).first()
         decided = numeric and sure and amount is not None and limit is not None
         assert row["e"] == (("pass" if amount <= limit else "fail") if decided else "needs_review")
+
+
+def test_statements_as_they_are_written(spark):
+    """Thousands, decimal commas, prose behind the unit, a full stop in a name, a long name."""
+    from decimal import Decimal
+
+    from complyframe.operators import extract
+
+    lines = [
+        "The maximum level of benzoic acid is 150 mg/kg in flavoured drinks.",
+        "The permitted limit of salt is 1,000 mg/kg.",
+        "The maximum amount of salt is 0,05 % in all.",
+        "The maximum level of salt in No. 3 drinks is 7 ppm, at most.",
+        f"The maximum level of {'x' * 250} is 3 ppm.",
+        "The maximum level of sugar applies. The maximum level of salt is 2 furlongs.",
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "d bigint, text string")
+    got = {r.d: (r.raw_substance, r.limit_value, r.unit) for r in extract.candidates(docs, "d").collect()}
+    assert got == {
+        0: ("benzoic acid", Decimal(150), "mg_per_kg"),
+        1: ("salt", Decimal(1000), "mg_per_kg"),
+        2: ("salt", Decimal("0.05"), "percent_w_w"),
+        3: ("salt in No. 3 drinks", Decimal(7), "ppm"),
+        4: ("x" * 250, Decimal(3), "ppm"),
+        5: ("salt", Decimal(2), None),
+    }
+
+
+def test_patches_of_one_product_fold(spark):
+    from complyframe.operators import state
+
+    base = spark.createDataFrame([("p", "a", "de")], "id string, name string, origin string")
+    rows = [("p", "b", None, 1), ("p", None, "fr", 2), ("p", "c", None, 3)]
+    patches = spark.createDataFrame(rows, "id string, name string, origin string, patched_at int")
+    snapshot, events = state.patch_products(base, patches, "id")
+    assert [tuple(r) for r in snapshot.collect()] == [("p", "c", "FR")]
+    assert events.count() == 1
+
+
+def test_latency_ignores_ends_before_the_start(spark):
+    from datetime import datetime
+
+    from complyframe.operators import metrics
+
+    at = lambda s: datetime(2026, 1, 1, 0, 0, s)
+    rows = [("t", "end", at(1)), ("t", "start", at(2)), ("t", "end", at(9)), ("u", "start", at(3))]
+    events = spark.createDataFrame(rows, "trace_id string, event_type string, occurred_at timestamp")
+    got = {r.trace_id: (r.seconds, r.breach) for r in metrics.end_to_end(events, "start", "end").collect()}
+    assert got == {"t": (7, False), "u": (None, True)}
