@@ -10,6 +10,7 @@ time, hence a match of n bytes costs O(n log n) however long it is.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from unicodedata import category
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from complyframe.llm.pieces import chunks, segments
 
-#: Ids of this many pieces are remembered by a Python worker, of pieces up to so many characters.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Ids of this many pieces, and of as many matches, are remembered by a Python worker, up to so many characters each.
+REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
 _NONE = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -45,33 +46,36 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
 
-    def put(at: int, value: int) -> None:
-        i = size + at
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
     while (best := tree[1]) != _NONE:
         i = best & _POSITION
         gone = after[i]
         end = after[i] = after[gone]
-        if gone < n - 1:
-            put(gone, _NONE)
+        changed = []
+        if gone < n - 1 and tree[size + gone] != _NONE:
+            changed.append((gone, _NONE))
         r = None
         if end < n:
             before[end] = i
             r = rank(word[i : after[end]])
-        put(i, _NONE if r is None else r << 32 | i)
+        changed.append((i, _NONE if r is None else r << 32 | i))
         if i:
             p = before[i]
             r = rank(word[p:end])
-            put(p, _NONE if r is None else r << 32 | p)
+            value = _NONE if r is None else r << 32 | p
+            if tree[size + p] != value:
+                changed.append((p, value))
+        for at, value in changed:
+            k = size + at
+            tree[k] = value
+            # Up to the root, or to where the change makes no difference.
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : after[i]]])
@@ -115,7 +119,9 @@ class Codec:
         for kind in (r"\p{L}", r"\p{N}") if newer else ():
             pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
         self.matches_without_newer = regex.compile(f"(?V1){pattern}").findall
+        # A word with and without a comma behind it is two pieces, but one match.
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     @cache
@@ -124,13 +130,20 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         return Codec(ranks, pattern)
 
+    def _match(self, match: str) -> bytes:
+        found = self.words.get(match)
+        if found is None:
+            found = array("I", merged(match.encode(), self.ranks)).tobytes()
+            if len(match) <= LONGEST_REMEMBERED and len(self.words) < REMEMBERED:
+                self.words[match] = found
+        return found
+
     def _piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
             newer = self.newer and not piece.isascii() and self.newer(piece)
             matches = self.matches_without_newer if newer else self.matches
-            ids = [i for match in matches(piece) for i in merged(match.encode(), self.ranks)]
-            found = b"".join([i.to_bytes(4, "little") for i in ids])
+            found = b"".join(map(self._match, matches(piece)))
             if len(piece) <= LONGEST_REMEMBERED and len(self.known) < REMEMBERED:
                 self.known[piece] = found
         return found
