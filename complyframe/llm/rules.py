@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complyframe.llm.shared import stored
+from complyframe.operators.joins import salted_join
 
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Vectors hold thousandths, as integers, so that sums are exact in any order.
@@ -159,7 +160,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
     """
     keys = ["lang", "source"]
     middles = stored(vectors.groupBy(*keys).agg(*[F.percentile(x, F.lit(0.5)).alias(f"q{x}") for x in STATISTICS]), "medians")
-    off = vectors.join(middles, keys).select(*keys, *[F.abs(F.col(x) - F.col(f"q{x}")).alias(x) for x in STATISTICS])
+    off = salted_join(vectors, middles, keys, ["doc_id"]).select(*keys, *[F.abs(F.col(x) - F.col(f"q{x}")).alias(x) for x in STATISTICS])
     scales = off.groupBy(*keys).agg(*[F.percentile(x, F.lit(0.5)).alias(f"d{x}") for x in STATISTICS])
     both = middles.join(scales, keys).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     centre = [(F.col(f"q{x}") / SCALE).alias(f"c{i}") for i, x in enumerate(STATISTICS)]
@@ -173,7 +174,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
 def _sums(vectors: DataFrame, now: DataFrame) -> DataFrame:
     """Counts and sums of the nearest half of each group, to the end of the distance bin that completes it."""
     x = [F.col(c) for c in STATISTICS]
-    placed = vectors.join(now, ["lang", "source"]).withColumn("bin", F.floor(F.log1p(distance()) * BINS).cast("int"))
+    placed = salted_join(vectors, now, ["lang", "source"], ["doc_id"]).withColumn("bin", F.floor(F.log1p(distance()) * BINS).cast("int"))
     totals = [F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)]]
     totals += [F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in _PAIRS]
     binned = placed.groupBy(*_GROUP, "bin").agg(*totals)
@@ -212,9 +213,9 @@ def judge(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     other columns are dropped.
     """
     own = stored(measured(df, id_column, text_column), "measured")
-    vectors = own.where("NOT base_failed").select("lang", "source", *STATISTICS)
+    vectors = own.where("NOT base_failed").select("doc_id", "lang", "source", *STATISTICS)
     found = stored(concentrated(vectors), "estimates").drop("start", "logdet")
     kept = ~F.col("base_failed") & F.coalesce(distance() <= CUT, F.lit(False))
-    return own.join(found, ["lang", "source"], "left").select(
+    return salted_join(own, found, ["lang", "source"], ["doc_id"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")
     )
