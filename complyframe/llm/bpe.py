@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from unicodedata import category
 
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from complyframe.llm.pieces import chunks, segments
 
-#: Ids of this many pieces, and of as many matches, are remembered by a Python worker, up to so many characters each.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+#: Ids of this many pieces and matches are remembered by a Python worker, of up to so many characters each.
+REMEMBERED_PIECES, REMEMBERED_MATCHES, LONGEST_REMEMBERED = 250_000, 900_000, 48
 _NONE = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -94,9 +94,9 @@ def newer_characters(pattern: str) -> str:
     import tiktoken
 
     found = []
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
     for kind, lead in ((r"\p{L}", "a"), (r"\p{N}", "1")):
-        known = regex.compile(kind).match
-        new = [c for c in map(chr, range(0x80, 0x110000)) if category(c) == "Cn" and known(c)]
+        new = [c for c in regex.findall(kind, every) if category(c) == "Cn"]
         ranks = {bytes([k]): k for k in range(256)} | {(lead + c).encode(): 256 + k for k, c in enumerate(new)}
         library = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         found += [c for c in new if len(library.encode_ordinary(lead + c)) > 1]
@@ -107,21 +107,26 @@ class Codec:
     """One rank file with its pre-tokenizer pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        self.split = pattern
+        # A word with and without a comma behind it is two pieces, but one match.
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @cached_property
+    def matchers(self) -> tuple:
+        """For any text, for one with newer characters, and the search for these; decoding needs none of it."""
         import regex
 
-        self.ranks = ranks
-        self.tokens = {i: token for token, i in ranks.items()}
         # \s of the pattern means the Unicode property, not Python's wider class.
-        pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-        self.matches = regex.compile(pattern).findall
-        newer = newer_characters(pattern)
-        self.newer = regex.compile(f"[{newer}]").search if newer else None
+        pattern = self.split.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        plain, newer = regex.compile(pattern).findall, newer_characters(self.split)
         for kind in (r"\p{L}", r"\p{N}") if newer else ():
             pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
-        self.matches_without_newer = regex.compile(f"(?V1){pattern}").findall
-        # A word with and without a comma behind it is two pieces, but one match.
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        return plain, regex.compile(f"(?V1){pattern}").findall, regex.compile(f"[{newer}]").search if newer else None
 
     @staticmethod
     @cache
@@ -134,17 +139,18 @@ class Codec:
         found = self.words.get(match)
         if found is None:
             found = array("I", merged(match.encode(), self.ranks)).tobytes()
-            if len(match) <= LONGEST_REMEMBERED and len(self.words) < REMEMBERED:
+            if len(match) <= LONGEST_REMEMBERED and len(self.words) < REMEMBERED_MATCHES:
                 self.words[match] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
-            newer = self.newer and not piece.isascii() and self.newer(piece)
-            matches = self.matches_without_newer if newer else self.matches
+            matches, without_newer, newer = self.matchers
+            if newer and not piece.isascii() and newer(piece):
+                matches = without_newer
             found = b"".join(map(self._match, matches(piece)))
-            if len(piece) <= LONGEST_REMEMBERED and len(self.known) < REMEMBERED:
+            if len(piece) <= LONGEST_REMEMBERED and len(self.known) < REMEMBERED_PIECES:
                 self.known[piece] = found
         return found
 

@@ -292,8 +292,10 @@ def test_rules(spark, documents, plain):
     assert {i: r for i, r in got.items() if i not in close} == {i: r for i, r in want.items() if i not in close}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     clean = [got[i][6] for i in got if labels.get(i) == 1 and not got[i][5]]
-    junk = [got[i][6] for i in got if labels.get(i) == 0]
     assert all(clean)
+    # A group of few rows is its own centre; from some ten on, junk stands out.
+    large = {i for rows in groups.values() if sum(not r[2] for r in rows) >= 10 for i, *_ in rows}
+    junk = [got[i][6] for i in got if labels.get(i) == 0 and i in large]
     assert not junk or sum(junk) <= len(junk) / 2
 
 
