@@ -118,7 +118,7 @@ class Codec:
 
     @cached_property
     def matchers(self) -> tuple:
-        """For any text, for one with newer characters, and the search for these; decoding needs none of it."""
+        """For any text, for one with newer characters, and the set of these; decoding needs none of it."""
         import regex
 
         # \s of the pattern means the Unicode property, not Python's wider class.
@@ -126,7 +126,7 @@ class Codec:
         plain, newer = regex.compile(pattern).findall, newer_characters(self.split)
         for kind in (r"\p{L}", r"\p{N}") if newer else ():
             pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
-        return plain, regex.compile(f"(?V1){pattern}").findall, regex.compile(f"[{newer}]").search if newer else None
+        return plain, regex.compile(f"(?V1){pattern}").findall, frozenset(newer)
 
     @staticmethod
     @cache
@@ -147,7 +147,7 @@ class Codec:
         found = self.known.get(piece)
         if found is None:
             matches, without_newer, newer = self.matchers
-            if newer and not piece.isascii() and newer(piece):
+            if not piece.isascii() and not newer.isdisjoint(piece):
                 matches = without_newer
             found = b"".join(map(self._match, matches(piece)))
             if len(piece) <= LONGEST_REMEMBERED and len(self.known) < REMEMBERED_PIECES:
@@ -156,7 +156,12 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._piece, segments(text)))
+        pieces = segments(text)
+        ids = list(map(self.known.get, pieces))
+        for k, known in enumerate(ids):
+            if known is None:
+                ids[k] = self._piece(pieces[k])
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
