@@ -354,3 +354,16 @@ def test_latency_ignores_ends_before_the_start(spark):
     events = spark.createDataFrame(rows, "trace_id string, event_type string, occurred_at timestamp")
     got = {r.trace_id: (r.seconds, r.breach) for r in metrics.end_to_end(events, "start", "end").collect()}
     assert got == {"t": (7, False), "u": (None, True)}
+
+
+def test_impact_chain_names_the_document_behind_a_change(spark):
+    places, pairs, ingredients = world(spark, product())
+    old, new = clauses(spark, clause("e1", "EU", "0.10")), clauses(spark, clause("e2", "EU", "0.05", day=9))
+    changes = impact.status_changes(*(impact.product_status(places, pairs, ingredients, c) for c in (old, new)))
+    required = impact.evaluate(impact.requirements(places, ingredients, new))
+    known = spark.createDataFrame([("doc_e2", "journal"), ("doc_other", "blog")], "document_id string, source string")
+    for documents, source in ((known, "journal"), (known.limit(0), None)):
+        chain = impact.impact_chain(changes, required, documents)
+        columns = ("product_id", "market_id", "clause_id", "document_id", "source", "was", "status")
+        assert [tuple(r) for r in chain.select(*columns).collect()] == [
+            ("p1", "market_de", "e2", "doc_e2", source, "compliant", "non_compliant")]

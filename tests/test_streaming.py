@@ -78,6 +78,18 @@ def state_of(spark, base, requests=(product(),)):
     return compliance, folder
 
 
+def test_restart_reads_what_was_logged(spark):
+    compliance, folder = state_of(spark, clauses(spark, clause("e1", "EU", "0.10")))
+    pending = [clause(name, "EU", limit, day=day, status="pending_reconciliation")
+               for name, limit, day in (("e2", "0.09", 5), ("e3", "0.05", 9))]
+    compliance.on_clauses(clauses(spark, pending[0]), 1)
+    again = stages.ComplianceState(spark, folder, compliance.places, compliance.ingredients)
+    again.on_clauses(clauses(spark, pending[1]), 2)
+    assert {(r["clause_id"], r["status"]) for r in again.clauses.state().collect()} == {
+        ("e1", "superseded"), ("e2", "superseded"), ("e3", "active")}
+    assert [tuple(r) for r in again.alerts().collect()] == [("p1", "market_de", "compliant", "non_compliant")]
+
+
 def test_regulation_arrives_and_the_product_flips_once(spark):
     base = clauses(spark, clause("b", "ID_BPOM", "0.10"), clause("e1", "EU", "0.10"))
     compliance, folder = state_of(spark, base)
