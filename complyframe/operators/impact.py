@@ -241,20 +241,28 @@ def unresolved(required: DataFrame, clauses: DataFrame) -> DataFrame:
     """Flag requirements whose clause is superseded with no active successor in scope."""
     from complyframe.operators.reconcile import SCOPE
 
-    live = clauses.where("status = 'active'").select(*SCOPE).distinct().withColumn("live", F.lit(True))
-    gone = clauses.where("status = 'superseded'").join(live, SCOPE, "left").where("live IS NULL")
+    live = clauses.where("status = 'active'").select(*SCOPE).distinct().withColumnsRenamed({c: f"_{c}" for c in SCOPE})
+    same_scope = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SCOPE]
+    gone = clauses.where("status = 'superseded'").join(live, same_scope, "left_anti")
     flagged = required.join(gone.select("clause_id", F.lit(True).alias("unresolved")), "clause_id", "left")
     flagged = flagged.withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
     return flagged.withColumn("severity", scoring.severity(F.col("evaluation"), F.col("unresolved")))
 
 
-def compare_jurisdictions(required: DataFrame, jurisdictions: list[str]) -> DataFrame:
-    """Per product and substance, the strictest limit of each jurisdiction side by side."""
+def compare_jurisdictions(required: DataFrame) -> DataFrame:
+    """Per product, substance and jurisdiction: the strictest limit, the product's amount, the worst verdict.
+
+    One row per jurisdiction, so that none has to be listed beforehand.
+    """
     limits = required.where("clause_type = 'numeric_limit'")
-    return (
-        limits.groupBy("product_id", "substance")
-        .pivot("jurisdiction", jurisdictions)
-        .agg(F.min("limit_base"))
+    verdict = F.col("evaluation")
+    return limits.groupBy("product_id", "substance", "jurisdiction").agg(
+        F.min("limit_base").alias("limit_base"),
+        F.max("amount_base").alias("amount_base"),
+        F.when(F.bool_or(verdict == "fail"), "fail")
+        .when(F.bool_or(verdict == "needs_review"), "needs_review")
+        .otherwise("pass")
+        .alias("verdict"),
     )
 
 

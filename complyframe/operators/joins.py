@@ -17,15 +17,21 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join that spreads each key of ``facts`` over ``salts`` tasks.
 
     ``lookup`` must be the side with few rows per key; it is repeated once per
     salt. ``spread`` names the columns that tell the rows of one key apart.
     Spark still broadcasts ``lookup`` by itself where its size allows that.
+    With ``null_safe`` a null in a key meets a null.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side does not fit a {how} join")
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    if not null_safe:
+        return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    renamed = repeated.withColumnsRenamed({c: f"_on_{c}" for c in (*on, "_salt")})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in (*on, "_salt")]
+    return salted.join(renamed, same, how).drop("_salt", *[f"_on_{c}" for c in (*on, "_salt")])

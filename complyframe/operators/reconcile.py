@@ -47,10 +47,14 @@ def _recency() -> Column:
 
 
 def current_clauses(clauses: DataFrame) -> DataFrame:
-    """The latest clause of each scope. Map-side aggregated, so no hot scope."""
+    """The latest numeric clause of each scope, and all others: only limits replace each other.
+
+    Map-side aggregated, so no hot scope.
+    """
     columns = clauses.columns
-    latest = clauses.groupBy(*SCOPE).agg(F.max_by(F.struct(*columns), _recency()).alias("_row"))
-    return latest.select("_row.*")
+    numeric = F.coalesce(F.col("clause_type") == "numeric_limit", F.lit(False))
+    latest = clauses.where(numeric).groupBy(*SCOPE).agg(F.max_by(F.struct(*columns), _recency()).alias("_row"))
+    return latest.select("_row.*").unionByName(clauses.where(~numeric))
 
 
 def _chain_slices(clauses: DataFrame) -> DataFrame:
@@ -324,7 +328,7 @@ def verdicts(
     # Rows that take no part keep _in = false and meet nothing in the joins.
     tie = [*SCOPE, *DATES, "_in"]
     ties = date_conflicts(live.where("_in")).withColumns({"_in": F.lit(True), "_tied": F.lit(True)})
-    live = salted_join(live, ties.select(*tie, "_tied"), tie, ["clause_id"], "left")
+    live = salted_join(live, ties.select(*tie, "_tied"), tie, ["clause_id"], "left", null_safe=True)
     unsettled = F.coalesce("_tied", F.lit(False)) & pending
     if settled is not None:
         keep = settled.where("verdict = 'keep'").select("clause_id", F.lit(True).alias("_keep")).distinct()
@@ -337,7 +341,7 @@ def verdicts(
     if history is not None:
         seen = seen.unionByName(history.where(numeric & usable).select(*limits))
     cuts = _cuts(seen).withColumn("_in", F.lit(True))
-    live = salted_join(live, cuts, [*SCOPE, "_in"], ["clause_id"], "left")
+    live = salted_join(live, cuts, [*SCOPE, "_in"], ["clause_id"], "left", null_safe=True)
     replaced = F.coalesce(_recency() <= F.col("_cut"), F.lit(False))
     linked = supersede_chain(live.withColumn("_replaced", replaced), [*SCOPE, "_in"])
 

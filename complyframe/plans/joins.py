@@ -306,17 +306,16 @@ def product_timeline(t):
     return timeline.assemble([own, clauses], all_events(t)).drop("entity_id")
 
 
-REGIONS = ["R0", "R1", "R2", "R3", "R4"]
-
-
 @query(
     "c16_jurisdiction_comparison",
-    "SELECT product_id, substance, "
-    + ", ".join(f"MIN(CASE WHEN jurisdiction = '{r}' THEN limit_base END) AS {r}" for r in REGIONS)
-    + " FROM v_req_before WHERE clause_type = 'numeric_limit' GROUP BY 1, 2",
+    """SELECT product_id, substance, jurisdiction, MIN(limit_base) AS limit_base,
+         COALESCE(MAX(amount_base), -1) AS amount_base, CASE MAX(CASE evaluation WHEN 'fail' THEN 2
+           WHEN 'needs_review' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'needs_review' ELSE 'pass' END AS verdict
+       FROM v_req_before WHERE clause_type = 'numeric_limit' GROUP BY 1, 2, 3""",
 )
 def jurisdiction_comparison(t):
-    return impact.compare_jurisdictions(t.requirements(), REGIONS)
+    compared = impact.compare_jurisdictions(t.requirements())
+    return compared.withColumn("amount_base", F.coalesce("amount_base", F.lit(-1).cast("decimal(18,6)")))
 
 
 @query(

@@ -78,11 +78,11 @@ VIEWS: dict[str, str] = {
     "v_active": "SELECT * FROM v_clauses WHERE status = 'active'",
     "v_pending": "SELECT * FROM v_clauses WHERE status = 'pending_reconciliation'",
     "v_current": """
-        SELECT * FROM v_active QUALIFY ROW_NUMBER() OVER (
+        SELECT * FROM v_active QUALIFY clause_type <> 'numeric_limit' OR ROW_NUMBER() OVER (
           PARTITION BY jurisdiction, substance, product_type, clause_type
           ORDER BY effective_date DESC, document_date DESC, clause_id DESC) = 1""",
     "v_following": """
-        SELECT * FROM v_live WHERE status = 'active' OR NOT gated QUALIFY ROW_NUMBER() OVER (
+        SELECT * FROM v_live WHERE (status = 'active' OR NOT gated) QUALIFY clause_type <> 'numeric_limit' OR ROW_NUMBER() OVER (
           PARTITION BY jurisdiction, substance, product_type, clause_type
           ORDER BY effective_date DESC, document_date DESC, clause_id DESC) = 1""",
     "v_events": """
@@ -147,7 +147,7 @@ VIEWS["v_req_before"] = _requirements("v_current")
 VIEWS["v_req_after"] = _requirements("v_following")
 VIEWS["v_settled"] = """
         SELECT c.* FROM v_clauses c JOIN v_verdicts d ON d.clause_id = c.clause_id WHERE d.status = 'active' QUALIFY
-        ROW_NUMBER() OVER (PARTITION BY c.jurisdiction, c.substance, c.product_type, c.clause_type
+        c.clause_type <> 'numeric_limit' OR ROW_NUMBER() OVER (PARTITION BY c.jurisdiction, c.substance, c.product_type, c.clause_type
           ORDER BY c.effective_date DESC, c.document_date DESC, c.clause_id DESC) = 1"""
 VIEWS["v_req_settled"] = _requirements("v_settled")
 VIEWS["v_status_settled"] = _status("v_req_settled")

@@ -367,3 +367,24 @@ def test_impact_chain_names_the_document_behind_a_change(spark):
         columns = ("product_id", "market_id", "clause_id", "document_id", "source", "was", "status")
         assert [tuple(r) for r in chain.select(*columns).collect()] == [
             ("p1", "market_de", "e2", "doc_e2", source, "compliant", "non_compliant")]
+
+
+def test_other_clauses_than_limits_all_stay_current(spark):
+    rows = clauses(spark, clause("a", "EU", None, kind="labeling", day=1), clause("b", "EU", None, kind="labeling", day=2),
+                   clause("c", "EU", "0.10", day=1), clause("d", "EU", "0.05", day=2))
+    assert sorted(r["clause_id"] for r in reconcile.current_clauses(rows).collect()) == ["a", "b", "d"]
+
+
+def test_a_scope_without_product_type_is_a_scope(spark):
+    rows = clauses(spark, clause("old", "EU", "0.10", day=1, product_type=None), clause("new", "EU", "0.05", day=2, product_type=None))
+    assert {r["clause_id"]: r["status"] for r in reconcile.verdicts(rows).collect()} == {"old": "superseded", "new": "active"}
+
+
+def test_jurisdictions_side_by_side(spark):
+    required = spark.createDataFrame(
+        [(1, "s", "EU", "numeric_limit", 5, 7, "fail"), (1, "s", "EU", "numeric_limit", 9, 7, "pass"),
+         (1, "s", "N3", "numeric_limit", 8, 7, "pass"), (1, "s", "N3", "labeling", None, None, "needs_review")],
+        "product_id INT, substance STRING, jurisdiction STRING, clause_type STRING, limit_base INT, amount_base INT, evaluation STRING",
+    )
+    rows = {tuple(r) for r in impact.compare_jurisdictions(required).collect()}
+    assert rows == {(1, "s", "EU", 5, 7, "fail"), (1, "s", "N3", 8, 7, "pass")}

@@ -53,12 +53,30 @@ def files(spark, df, n, tag):
 
 
 def test_redelivery_in_other_batches(spark):
-    rows = [(f"m{i}", f"2026-01-01 00:00:{i:02d}") for i in range(30)] + [("", "2026-01-01 00:00:05")]
+    """First deliveries count however late they come, and null ids are never duplicates."""
+    rows = [(f"m{i}", f"2026-01-{1 + i:02d} 00:00:00") for i in range(30)] + [("", "2026-01-05 00:00:00"), (None, "2026-01-05 00:00:00")]
     df = spark.createDataFrame(rows, "message_id STRING, at STRING").withColumn("received_at", F.to_timestamp("at"))
+    folder = storage.run_folder(spark)
+    log = ChangeLog(spark, f"{folder}/log", ["marker"])
+
+    def each(batch, number):
+        for _ in range(2):
+            stages.deduplicated(batch, "extract", log, number)
+
+    drain(stream_of(spark, files(spark, df, 4, "in"), df.schema, files_per_batch=1), f"{folder}/cp", each)
+    counts = {r["message_id"]: r["count"] for r in log.rows().groupBy("message_id").count().collect()}
+    assert counts.pop("") == 2 and counts.pop(None) == 2 and set(counts.values()) == {1} and len(counts) == 30
+
+
+def test_late_rows_count_in_their_window(spark):
+    rows = [("2026-01-20 00:01:00", "a"), ("2026-01-20 00:02:00", "a"), ("2026-01-01 00:01:00", "a"), ("2026-01-02 00:01:00", "b")]
+    df = spark.createDataFrame(rows, "at STRING, kind STRING").select(F.to_timestamp("at").alias("at"), "kind")
+    folder = storage.run_folder(spark)
+    log = ChangeLog(spark, f"{folder}/log", ["window_start", "kind"])
     stream = stream_of(spark, files(spark, df, 4, "in"), df.schema, files_per_batch=1)
-    kept = drain_to_files(stages.deduplicated(stream, "extract"), storage.run_folder(spark))
-    counts = {r["message_id"]: r["count"] for r in kept.groupBy("message_id").count().collect()}
-    assert counts.pop("") == 2 and set(counts.values()) == {1} and len(counts) == 30
+    drain(stages.windowed_counts(stream, "at", "kind"), f"{folder}/cp", log.write, mode="update")
+    assert sorted((str(r["window_start"]), r["kind"], r["n"]) for r in log.state().collect()) == [
+        ("2026-01-01 00:00:00", "a", 2), ("2026-01-02 00:00:00", "b", 2), ("2026-01-20 00:00:00", "a", 4)]
 
 
 def test_counts_over_batches_equal_the_batch(spark):
