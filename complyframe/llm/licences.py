@@ -1,4 +1,4 @@
-"""Licence scans: normalised lines and texts against licence templates, on built-in functions alone."""
+"""Licence scans: normalised lines, texts and windows of words against licence templates, on built-in functions alone."""
 
 from __future__ import annotations
 
@@ -42,6 +42,25 @@ def size_bounds(n: int, percent: int) -> tuple[int, int]:
     return -(-n * percent // (200 - percent)), n * (200 - percent) // percent
 
 
+def key_words(counts: Mapping[str, int], percent: int) -> list[str]:
+    """Words, longest first, in so many of a template's bigrams that text without any of them cannot reach ``percent``."""
+    n = sum(counts.values())
+    spare = n - size_bounds(n, percent)[0]
+    chosen: list[str] = []
+    left = dict(counts)
+    for word in sorted({w for g in counts for w in g.split()}, key=lambda w: (-len(w), w)):
+        chosen.append(word)
+        left = {g: c for g, c in left.items() if word not in g.split()}
+        if n - sum(left.values()) > spare:
+            break
+    return chosen
+
+
+def _strings(values: list[str]) -> Column:
+    """A literal array of words or bigrams, as one constant."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def _literal(templates: Mapping[str, str], percent: int) -> Column:
     rows = []
     for place, (name, text) in enumerate(sorted(templates.items())):
@@ -57,8 +76,9 @@ def _literal(templates: Mapping[str, str], percent: int) -> Column:
                 F.lit(n).alias("n"),
                 F.lit(least).alias("least"),
                 F.lit(most).alias("most"),
-                F.array(*[F.lit(g) for g in counts]).alias("grams"),
-                F.array(*[F.lit(c) for c in counts.values()]).alias("counts"),
+                _strings(list(counts)).alias("grams"),
+                _strings([str(c) for c in counts.values()]).cast("array<int>").alias("counts"),
+                _strings(key_words(counts, percent)).alias("keys"),
             )
         )
     return F.array(*rows)
@@ -73,37 +93,38 @@ def scan(
 ) -> DataFrame:
     """Per row: doc_id, licence (null: none), shared, unit_bigrams, template_bigrams, n_lines.
 
-    Units are the lines of a text and, if it has several, the whole of it. Dice
-    is taken over bigrams with their repeats: twice the shared ones over the sum
-    of both sizes. Its size bounds rest on the number of words alone, so a unit
-    out of every template's reach is never cut into bigrams, and a template out
-    of a unit's reach is not compared. The best match wins; ties go to more
-    shared bigrams, then to the first name. ``n_lines`` counts the lines that
-    reach the threshold. All work is within the row: no shuffle, no join.
+    Units are the lines of a text, the whole of it, and for each template that
+    the text is longer than, all its windows of words, across lines, within the
+    template's size bounds. Dice is taken over bigrams with their repeats: twice
+    the shared ones over the sum of both sizes. A text without a template's key
+    words cannot reach it and is not compared; the size bounds rest on the
+    number of words alone, so a unit out of every template's reach is never cut
+    into bigrams. The best match wins; ties go to more shared bigrams, then to
+    the first name. ``n_lines`` counts the lines that reach the threshold. All
+    work is within the row: no shuffle, no join.
 
     Null and empty texts match nothing. Rows come out as often as they came in;
     other columns are dropped.
     """
     every = [size_bounds(len(grams(text)), percent) for text in templates.values()]
     low, high = min(a for a, _ in every), max(b for _, b in every)
+    keys = sorted({w for text in templates.values() for w in key_words(Counter(grams(text)), percent)})
+    none = F.array().cast("array<string>")
     clean = F.regexp_replace(F.lower(F.coalesce(text_column, F.lit(""))), r"[^a-z0-9\n]+", " ")
-    lines = F.transform(F.split("_clean", "\n"), lambda x: F.struct(F.lit(True).alias("line"), F.split(F.trim(x), " +").alias("words")))
+
+    def pairs(words: Column) -> Column:
+        return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+    lines = F.transform(
+        F.when(F.size("_known") > 0, F.split("_clean", "\n")).otherwise(none),
+        lambda x: F.struct(F.lit(True).alias("line"), F.split(F.trim(x), " +").alias("words")),
+    )
     whole = F.when(
-        F.contains("_clean", F.lit("\n")),
-        F.array(F.struct(F.lit(False).alias("line"), F.split(F.trim(F.translate("_clean", "\n", " ")), " +").alias("words"))),
+        (F.size("_known") > 0) & F.contains("_clean", F.lit("\n")), F.array(F.struct(F.lit(False).alias("line"), F.col("_words").alias("words")))
     ).otherwise(F.array())
     units = F.filter(F.concat(lines, whole), lambda u: F.size(u["words"]).between(low + 1, high + 1))
     paired = F.transform(
-        units,
-        lambda u: F.struct(
-            u["line"].alias("line"),
-            (F.size(u["words"]) - 1).alias("n"),
-            F.zip_with(
-                F.slice(u["words"], F.lit(1), F.size(u["words"]) - 1),
-                F.slice(u["words"], F.lit(2), F.size(u["words"]) - 1),
-                lambda a, b: F.concat_ws(" ", a, b),
-            ).alias("grams"),
-        ),
+        units, lambda u: F.struct(u["line"].alias("line"), (F.size(u["words"]) - 1).alias("n"), pairs(u["words"]).alias("grams"))
     )
 
     def within_reach(u: Column, t: Column) -> Column:
@@ -123,23 +144,76 @@ def scan(
             t["name"].alias("name"),
         )
 
-    known = _literal(templates, percent)
+    def reaches(m: Column) -> Column:
+        return m["shared"] * 200 >= (m["n"] + m["template_n"]) * percent
+
     best = F.transform(
         "_paired",
         lambda u: F.struct(
             u["line"].alias("line"),
-            F.array_max(
-                F.filter(
-                    F.transform(F.filter(known, lambda t: within_reach(u, t)), lambda t: match(u, t)),
-                    lambda m: m["shared"] * 200 >= (m["n"] + m["template_n"]) * percent,
-                )
-            ).alias("match"),
+            F.array_max(F.filter(F.transform(F.filter("_known", lambda t: within_reach(u, t)), lambda t: match(u, t)), reaches)).alias("match"),
         ),
     )
+
+    def spots(t: Column) -> Column:
+        """Places p of a template's bigrams in the text, in order, with k, the bigram's number in the template."""
+        each = F.transform("_grams", lambda g, p: F.struct(p.alias("p"), F.array_position(t["grams"], g).cast("int").alias("k")))
+        return F.filter(each, lambda x: x["k"] > 0)
+
+    def linked(t: Column, at: Column) -> Column:
+        """A spot counts in the windows that begin after ``back``: later the template's number of that bigram is used up."""
+
+        def link(x: Column, i: Column) -> Column:
+            c = F.element_at(t["counts"], x["k"])
+            same = F.filter(F.slice(at, F.lit(1), i), lambda y: y["k"] == x["k"])
+            back = F.when(F.size(same) >= c, F.get(same, F.size(same) - c)["p"]).otherwise(-1)
+            return F.struct(x["p"].alias("p"), back.alias("back"))
+
+        return F.transform(at, link)
+
+    def window(t: Column, at: Column) -> Column:
+        """The best window of a template. Both its ends are spots: others only add to its size, or are too few to reach."""
+
+        def ends(x: Column, i: Column) -> Column:
+            def longer(best: Column, y: Column) -> Column:
+                seen = best["seen"] + F.when(y["back"] < x["p"], 1).otherwise(0)
+                n = y["p"] - x["p"] + 1
+                now = F.struct((seen * 2.0 / (n + t["n"])).alias("dice"), seen.alias("shared"), n.alias("n"))
+                better = n.between(t["least"], t["most"]) & (now > best["top"])
+                return F.struct(seen.alias("seen"), F.when(better, now).otherwise(best["top"]).alias("top"))
+
+            start = F.struct(F.lit(0).alias("seen"), F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("shared"), F.lit(0).alias("n")).alias("top"))
+            enough = F.get(at, i + t["least"] - 1)["p"] - x["p"] < t["most"]
+            return F.when(enough, F.aggregate(F.slice(at, i + 1, t["most"]), start, longer)["top"])
+
+        top = F.array_max(F.transform(at, ends))
+        return F.struct(
+            top["dice"].alias("dice"),
+            top["shared"].alias("shared"),
+            t["place"].alias("place"),
+            top["n"].alias("n"),
+            t["n"].alias("template_n"),
+            t["name"].alias("name"),
+        )
+
+    def fits(t: Column) -> Column:
+        return (F.size("_grams") > t["n"]) & (t["n"] - F.size(t["grams"]) + F.size(F.array_intersect(F.col("_grams"), t["grams"])) >= t["least"])
+
     rows = df.select(F.col(id_column).alias("doc_id"), clean.alias("_clean"))
-    rows = rows.select("doc_id", paired.alias("_paired"))
-    rows = rows.select("doc_id", F.filter(best, lambda x: x["match"].isNotNull()).alias("_hits"))
-    top = F.array_max(F.transform("_hits", lambda x: x["match"]))
+    rows = rows.select("*", F.split(F.trim(F.translate("_clean", "\n", " ")), " +").alias("_words"))
+    rows = rows.select("*", F.array_intersect("_words", _strings(keys)).alias("_keys"))
+    known = F.filter(_literal(templates, percent), lambda t: F.arrays_overlap(F.col("_keys"), t["keys"]))
+    rows = rows.select("doc_id", "_clean", "_words", F.when(F.size("_keys") > 0, known).otherwise(F.slice(_literal(templates, percent), 1, 0)).alias("_known"))
+    long = F.exists("_known", lambda t: F.size("_words") - 1 > t["n"])
+    rows = rows.select("doc_id", "_known", paired.alias("_paired"), F.when(long, pairs(F.col("_words"))).otherwise(none).alias("_grams"))
+    hits = F.filter(best, lambda x: x["match"].isNotNull()).alias("_hits")
+    spotted = F.transform(F.filter("_known", fits), lambda t: F.struct(t.alias("t"), spots(t).alias("at")))
+    rows = rows.select("doc_id", hits, spotted.alias("_spotted"))
+    joined = F.transform("_spotted", lambda x: F.struct(x["t"].alias("t"), linked(x["t"], x["at"]).alias("at")))
+    rows = rows.select("doc_id", "_hits", joined.alias("_linked"))
+    windows = F.filter(F.transform("_linked", lambda x: window(x["t"], x["at"])), lambda m: F.coalesce(reaches(m), F.lit(False)))
+    rows = rows.select("doc_id", "_hits", windows.alias("_windows"))
+    top = F.array_max(F.concat(F.transform("_hits", lambda x: x["match"]), F.col("_windows")))
     rows = rows.select("doc_id", top.alias("_top"), F.filter("_hits", lambda x: x["line"]).alias("_lines"))
     return rows.select(
         "doc_id",
@@ -152,7 +226,7 @@ def scan(
 
 
 def scan_sql(templates: Mapping[str, str] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> str:
-    """The same rows in SQL, without any pruning; ids must be unique."""
+    """The same rows in SQL, without any pruning, where no window beats the lines and the whole text; ids must be unique."""
     values = ", ".join(
         f"('{name}', {-place}, '{g}', {c})"
         for place, (name, text) in enumerate(sorted(templates.items()))
