@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Usual licence statements, and the permission paragraphs of two short licences.
+#: Whole texts and standard headers of the usual licences, a file each, named by SPDX identifier.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Usual licence statements, the permission paragraphs of two short licences, and the files.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -27,6 +30,7 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    **{file.stem: file.read_text(encoding="utf-8") for file in sorted(TEXTS.glob("*.txt"))},
 }
 THRESHOLD_PERCENT = 80
 
@@ -47,18 +51,22 @@ def key_words(counts: Mapping[str, int], percent: int) -> list[str]:
     n = sum(counts.values())
     spare = n - size_bounds(n, percent)[0]
     chosen: list[str] = []
-    left = dict(counts)
-    for word in sorted({w for g in counts for w in g.split()}, key=lambda w: (-len(w), w)):
+    touched, among = set(), defaultdict(set)
+    for g in counts:
+        for word in g.split():
+            among[word].add(g)
+    for word in sorted(among, key=lambda w: (-len(w), w)):
         chosen.append(word)
-        left = {g: c for g, c in left.items() if word not in g.split()}
-        if n - sum(left.values()) > spare:
+        spare -= sum(counts[g] for g in among[word] - touched)
+        touched |= among[word]
+        if spare < 0:
             break
     return chosen
 
 
 def _strings(values: list[str]) -> Column:
     """A literal array of words or bigrams, as one constant."""
-    return F.split(F.lit("\n".join(values)), "\n")
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
 
 
 def _literal(templates: Mapping[str, str], percent: int) -> Column:
@@ -78,6 +86,8 @@ def _literal(templates: Mapping[str, str], percent: int) -> Column:
                 F.lit(most).alias("most"),
                 _strings(list(counts)).alias("grams"),
                 _strings([str(c) for c in counts.values()]).cast("array<int>").alias("counts"),
+                _strings([g for g, c in counts.items() if c > 1]).alias("again"),
+                _strings([str(c) for c in counts.values() if c > 1]).cast("array<int>").alias("times"),
                 _strings(key_words(counts, percent)).alias("keys"),
             )
         )
@@ -133,8 +143,9 @@ def scan(
         return u["n"].between(t["least"], t["most"]) & (most * 200 >= (u["n"] + t["n"]) * percent)
 
     def match(u: Column, t: Column) -> Column:
-        each = F.zip_with(t["grams"], t["counts"], lambda g, c: F.least(c, F.size(F.filter(u["grams"], lambda x: x == g))))
-        shared = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+        # Each bigram in both counts once; what the template repeats is counted out.
+        more = F.zip_with(t["again"], t["times"], lambda g, c: F.greatest(F.least(c, F.size(F.filter(u["grams"], lambda x: x == g))) - 1, F.lit(0)))
+        shared = F.aggregate(more, F.size(F.array_intersect(u["grams"], t["grams"])), lambda total, x: total + x)
         return F.struct(
             (shared * 2.0 / (u["n"] + t["n"])).alias("dice"),
             shared.alias("shared"),
@@ -156,20 +167,19 @@ def scan(
     )
 
     def spots(t: Column) -> Column:
-        """Places p of a template's bigrams in the text, in order, with k, the bigram's number in the template."""
-        each = F.transform("_grams", lambda g, p: F.struct(p.alias("p"), F.array_position(t["grams"], g).cast("int").alias("k")))
-        return F.filter(each, lambda x: x["k"] > 0)
+        """Places p of a template's bigrams in the text by k, the bigram's number in the template, then in order."""
+        each = F.transform("_grams", lambda g, p: F.struct(F.array_position(t["grams"], g).cast("int").alias("k"), p.alias("p")))
+        return F.array_sort(F.filter(each, lambda x: x["k"] > 0))
 
     def linked(t: Column, at: Column) -> Column:
         """A spot counts in the windows that begin after ``back``: later the template's number of that bigram is used up."""
 
         def link(x: Column, i: Column) -> Column:
             c = F.element_at(t["counts"], x["k"])
-            same = F.filter(F.slice(at, F.lit(1), i), lambda y: y["k"] == x["k"])
-            back = F.when(F.size(same) >= c, F.get(same, F.size(same) - c)["p"]).otherwise(-1)
+            back = F.when((i >= c) & (F.get(at, i - c)["k"] == x["k"]), F.get(at, i - c)["p"]).otherwise(-1)
             return F.struct(x["p"].alias("p"), back.alias("back"))
 
-        return F.transform(at, link)
+        return F.array_sort(F.transform(at, link))
 
     def window(t: Column, at: Column) -> Column:
         """The best window of a template. Both its ends are spots: others only add to its size, or are too few to reach."""
@@ -203,7 +213,7 @@ def scan(
     rows = rows.select("*", F.split(F.trim(F.translate("_clean", "\n", " ")), " +").alias("_words"))
     rows = rows.select("*", F.array_intersect("_words", _strings(keys)).alias("_keys"))
     known = F.filter(_literal(templates, percent), lambda t: F.arrays_overlap(F.col("_keys"), t["keys"]))
-    rows = rows.select("doc_id", "_clean", "_words", F.when(F.size("_keys") > 0, known).otherwise(F.slice(_literal(templates, percent), 1, 0)).alias("_known"))
+    rows = rows.select("doc_id", "_clean", "_words", F.when(F.size("_keys") > 0, known).alias("_known"))
     long = F.exists("_known", lambda t: F.size("_words") - 1 > t["n"])
     rows = rows.select("doc_id", "_known", paired.alias("_paired"), F.when(long, pairs(F.col("_words"))).otherwise(none).alias("_grams"))
     hits = F.filter(best, lambda x: x["match"].isNotNull()).alias("_hits")
