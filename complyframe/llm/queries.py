@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from complyframe.llm import bpe, exact, licences, ngram, packing, rules, sharding, simhash, urls, warc
+from complyframe.llm import (
+    alignment,
+    bpe,
+    exact,
+    jaccard,
+    lexical,
+    licences,
+    ngram,
+    packing,
+    rules,
+    sharding,
+    simhash,
+    urls,
+    warc,
+)
 
 SHARDS = [(n, 1.0) for n in range(40)]
 GROWN = (40, 1.0)
@@ -62,6 +76,19 @@ def op10_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ngram.scores(_table(spark, folder, "documents"))
 
 
+def op11_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_sets(_table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_table(spark, folder, "documents"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,11 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_bin_completion,
         op10_ngram_scores,
+        op11_jaccard_components,
+        op12_lexical_search,
+        op13_token_alignment,
     )
 }
 
 
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": lexical.SEARCH_SQL,
     "op3_licence_scan": licences.scan_sql(),
     "op4_exact_dedup": r"""
 WITH t AS (

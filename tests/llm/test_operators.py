@@ -61,7 +61,7 @@ def test_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
