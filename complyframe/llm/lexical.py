@@ -229,7 +229,7 @@ def search(
 #: The same in SQL, for the tables ``documents`` and ``benchmark``.
 SEARCH_SQL = r"""
 WITH doc AS (
-  SELECT row_number() OVER () AS at, doc_id,
+  SELECT row_number() OVER () AS place, doc_id,
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
   FROM documents
 ),
@@ -240,13 +240,13 @@ item AS (
 ),
 term AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(words) AS term FROM item) GROUP BY ALL),
 size AS (SELECT count(*) AS docs, sum(len(words)) AS total FROM doc WHERE len(words) > 0),
-tf AS (SELECT at, term, count(*) AS tf FROM (SELECT at, unnest(words) AS term FROM doc) GROUP BY ALL),
+tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(words) AS term FROM doc) GROUP BY ALL),
 w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
 value AS (
-  SELECT tf.at, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * CAST(100 - 25 + (25 * len(doc.words) * size.docs) // size.total AS BIGINT))) AS v
-  FROM tf JOIN w USING (term) JOIN doc USING (at), size
+  SELECT tf.place, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * CAST(100 - 25 + (25 * len(doc.words) * size.docs) // size.total AS BIGINT))) AS v
+  FROM tf JOIN w USING (term) JOIN doc USING (place), size
 ),
-score AS (SELECT item, at, CAST(sum(times * v) AS BIGINT) AS score FROM term JOIN value USING (term) GROUP BY ALL)
+score AS (SELECT item, place, CAST(sum(times * v) AS BIGINT) AS score FROM term JOIN value USING (term) GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
-FROM score JOIN doc USING (at) JOIN item USING (item) WHERE score > 0
+FROM score JOIN doc USING (place) JOIN item USING (item) WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= 20"""
