@@ -10,65 +10,28 @@ Pieces then take their places by their rank among those of their length.
 from __future__ import annotations
 
 import zlib
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from complyframe.llm.pieces import chunks, segments
+from complyframe.llm.bytebpe import ByteBpe
+from complyframe.llm.pieces import chunks
 from complyframe.llm.shared import stored
 from complyframe.operators.ordered import positions
 
 CAPACITY, END = 2048, 0
-#: Ids of this many text pieces are remembered by a Python worker.
-REMEMBERED, LONGEST_REMEMBERED = 700_000, 48
-#: Fillings looked at for one largest piece, and decisions in all, before the best so far is taken.
-FILLINGS, DECISIONS = 128, 4_000
-#: Next lengths tried at each place of a filling, from the largest that fits.
-WIDTH = 6
+#: Fillings chosen in all, beyond the first way down, before the best packing so far is taken and its gap reported.
+DECISIONS = 4_000
+#: With at most FEW lengths left, fillings are put in order, this many at a time.
+FEW, ORDERED = 6, 256
 SLICES = 256
 
 
-class Tokens:
-    """Ids by the ``tokenizers`` library, remembered per piece of text."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as text:
-            self.library = Tokenizer.from_str(text.read())
-        self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    @cache
-    def load(path: str) -> Tokens:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return Tokens(path)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [segments(text) for text in texts]
-        known = self.known
-        new = list({piece for pieces in cut for piece in pieces if piece not in known})
-        room = REMEMBERED - len(known)
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = array("I", found.ids).tobytes()
-        ids = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        # Frequent pieces come early and stay; once the room is used up, the rest is forgotten again.
-        for k, piece in enumerate(new):
-            if k >= room or len(piece) > LONGEST_REMEMBERED:
-                del known[piece]
-        return ids
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all full but perhaps the first."""
     first = n % capacity or min(n, capacity)
@@ -78,25 +41,32 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenized(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. A document ends with id 0, so an empty one has one token."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, salt. A document ends with id 0, so an empty one has one token.
+
+    ``salt`` tells rows apart that are equal in everything else, 256 ways.
+    """
     source = df.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("text"))
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens.load(tokenizer_path)
+        tokens = ByteBpe.load(tokenizer_path, True)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, last in chunks(texts):
                 rows = []
-                encoded = tokens.encode([text.decode("utf-8", "replace") for text in texts[first:last]])
-                for k, ids in enumerate(encoded, first):
-                    ids += END.to_bytes(4, "little")
+                for k in range(first, last):
+                    ids = np.array([*tokens.encode(texts[k].decode("utf-8", "replace")), END], "<u4").tobytes()
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((k, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                at, piece, start, length, crc = map(list, zip(*rows, strict=True))
+                        rows.append((k, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), k % SLICES))
+                at, piece, start, length, crc, salt = map(list, zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [
+                        batch.column("doc_id").take(pa.array(at)),
+                        pa.array(piece, pa.int32()),
+                        *[pa.array(x, pa.int64()) for x in (start, length, crc)],
+                        pa.array(salt, pa.int32()),
+                    ],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
                 )
 
     return source.mapInArrow(run, schema)
@@ -120,48 +90,74 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and deal(0)
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths for a room, fullest first, that leave at most ``waste`` if any can.
-
-    Each is maximal: nothing that is left would still fit. The depth-first
-    search takes large lengths first, as many or one of each, and looks at
-    ``most`` sets.
-    """
-    lengths = sorted((x for x in counts if counts[x] and x <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    left = most
-
-    def search(at: int, room: int, taken: tuple[int, ...]) -> None:
-        nonlocal left
-        at = max(at, bisect_left(lengths, -room, key=lambda x: -x))
-        if at == len(lengths):
-            found.append(taken)
-            left -= 1
+class Reach:
+    """Which sums pieces of the lengths left can make, from each length down: bit s of ``sums[k]`` for lengths[k:]."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.lengths = sorted((x for x, n in counts.items() if n), reverse=True)
+        self.capacity, self.all = capacity, (1 << (capacity + 1)) - 1
+        self.copies = [0] * len(self.lengths)
+        self.sums = [1] * (len(self.lengths) + 1)
+        self.at = {x: k for k, x in enumerate(self.lengths)}
+        self.update(counts, self.lengths)
+
+    def update(self, counts: dict[int, int], changed) -> None:
+        """Work the table anew from the shortest length whose useful copies changed."""
+        lowest = -1
+        for x in changed:
+            k = self.at[x]
+            useful = min(counts[x], self.capacity // x)
+            if useful != self.copies[k]:
+                self.copies[k], lowest = useful, max(lowest, k)
+        for k in range(lowest, -1, -1):
+            sums, left, step = self.sums[k + 1], self.copies[k], 1
+            while left:
+                take = min(step, left)
+                sums |= (sums << (take * self.lengths[k])) & self.all
+                left, step = left - take, 2 * step
+            self.sums[k] = sums
+
+    def exact(self, k: int, total: int) -> Iterator[tuple[int, ...]]:
+        """All sets of pieces of lengths[k:] that add up to ``total``: large lengths first, every number of copies from the most."""
+        if not total:
+            yield ()
             return
-        for k in range(at, min(at + WIDTH, len(lengths))):
-            x = lengths[k]
-            n = min(counts[x], room // x)
-            for copies in sorted({n, 1}, reverse=True):
-                if left <= 0:
-                    return
-                search(k + 1, room - copies * x, taken + (x,) * copies)
-                if room == copies * x:
-                    return
-
-    search(0, room, ())
-    found = [f for f in dict.fromkeys(found) if _maximal(f, counts, room)] or found[:1]
-    found.sort(key=lambda f: (-sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in found[:32]:
-        if not any(len(f) <= 12 and dominates(k, f) for k in kept):
-            kept.append(f)
-    within = [f for f in kept if room - sum(f) <= waste]
-    return within or kept[:1] or [()]
-
-
-def _maximal(filling: tuple[int, ...], counts: dict[int, int], room: int) -> bool:
-    rest = room - sum(filling)
-    return not any(x <= rest and counts[x] > filling.count(x) for x in counts)
+        for j in range(k, len(self.lengths)):
+            if not self.sums[j] >> total & 1:
+                return
+            x = self.lengths[j]
+            for n in range(min(self.copies[j], total // x), 0, -1):
+                if self.sums[j + 1] >> (total - n * x) & 1:
+                    for rest in self.exact(j + 1, total - n * x):
+                        yield (x,) * n + rest
+
+
+def fillings(counts: dict[int, int], capacity: int, reach: Reach | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings around the largest piece left, by rising waste.
+
+    None is left out but those that an earlier one with at most a dozen pieces
+    dominates: it holds as much in fewer, larger pieces. Which sums can be made
+    is known beforehand, so no branch ends without a filling. A filling that
+    leaves room for another piece is not among them.
+    """
+    reach = reach or Reach(counts, capacity)
+    first = next(k for k, x in enumerate(reach.lengths) if counts[x])
+    largest = reach.lengths[first]
+    earlier: list[tuple[int, ...]] = []
+    for waste in range(capacity - largest + 1):
+        room = capacity - largest - waste
+        for n in range(min(reach.copies[first] - 1, room // largest), -1, -1):
+            if not reach.sums[first + 1] >> (room - n * largest) & 1:
+                continue
+            for rest in reach.exact(first + 1, room - n * largest):
+                filling = (largest,) * (n + 1) + rest
+                if waste and any(x <= waste and counts[x] > filling.count(x) for x in reach.lengths):
+                    continue
+                if len(filling) <= 12 and any(dominates(e[n + 1 :], rest) for e in earlier if e[: n + 1] == filling[: n + 1]):
+                    continue
+                if len(filling) <= 12 and len(earlier) < 64:
+                    earlier.append(filling)
+                yield filling
 
 
 def _uses(filling: tuple[int, ...], counts: dict[int, int]) -> int:
@@ -186,64 +182,119 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
     return result
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int = DECISIONS) -> list[tuple[int, tuple[int, ...]]]:
-    """(uses, lengths) of sequences that hold all pieces, by bin completion.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing needs fewer sequences: by tokens, and by pieces too long to share one.
 
-    Depth-first branch and bound from the best-fit incumbent. A branch ends
-    when its waste so far shows that it cannot need fewer sequences than the
-    incumbent; the search ends at the lower bound ceil(tokens / capacity), or
-    after ``decisions`` fillings tried.
+    For every k up to half a sequence: pieces longer than capacity - k are
+    alone among those of at least k; the other large ones leave known room.
+    """
+    n, size = np.zeros(capacity + 2, np.int64), np.arange(capacity + 2)
+    for x, c in counts.items():
+        n[x] = c
+    above, tokens = n[::-1].cumsum()[::-1], (n * size)[::-1].cumsum()[::-1]
+    best = -(-int(tokens[0]) // capacity)
+    half = capacity // 2 + 1
+    for k in range(half):
+        alone, large = int(above[capacity - k + 1]), int(above[half] - above[max(capacity - k + 1, half)])
+        room = large * capacity - int(tokens[half] - tokens[max(capacity - k + 1, half)])
+        small = int(tokens[k] - tokens[half])
+        best = max(best, alone + large + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+class Packing(NamedTuple):
+    """(uses, lengths) of all sequences, how many they are, and how many any packing needs at least."""
+
+    plan: list[tuple[int, tuple[int, ...]]]
+    sequences: int
+    bound: int
+
+
+def _balanced(found: Iterator[tuple[int, ...]], counts: dict[int, int], capacity: int) -> Iterator[tuple[int, ...]]:
+    """The same fillings; of every ORDERED in turn those first that use the pieces most evenly, less waste before more."""
+    share = capacity / sum(x * n for x, n in counts.items())
+    while batch := list(islice(found, ORDERED)):
+        yield from sorted(batch, key=lambda f: (-sum(f), sum(x * abs(f.count(x) - share * n) for x, n in counts.items())))
+
+
+def _choices(counts: dict[int, int], capacity: int, reach: Reach) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Every filling, first as often as its pieces allow, then half as often, down to once.
+
+    Of many lengths any full filling will do. Few must be used in proportion,
+    or what is left no longer fits together.
+    """
+    found = fillings(counts, capacity, reach)
+    counts = {x: n for x, n in counts.items() if n}
+    for filling in _balanced(found, counts, capacity) if len(counts) <= FEW else found:
+        uses = _uses(filling, counts)
+        while uses:
+            yield uses, filling
+            uses //= 2
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int = DECISIONS) -> Packing:
+    """A packing of all pieces by bin completion.
+
+    Depth-first branch and bound from the best-fit incumbent: at each step the
+    largest piece left is given a filling, as often as its pieces allow or less
+    often. A branch ends when its waste so far shows that it cannot need fewer
+    sequences than the incumbent; where the search stops, best fit completes
+    the branch. It ends at the lower bound, which proves the packing best, or
+    after ``decisions`` more steps than the first way down; ``sequences -
+    bound`` is then the most that can be gained.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
-        return []
-    tokens = sum(x * n for x, n in counts.items())
-    bound = max(-(-tokens // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    incumbent = best_fit(counts, capacity)
-    fewest = sum(n for n, _ in incumbent)
-    # One entry per open decision: what is left, waste so far, the alternatives not yet tried.
-    path: list[tuple[int, tuple[int, ...]]] = []
-    state = dict(counts)
-
-    def options(waste: int) -> list[tuple[int, ...]]:
-        largest = max(x for x in state if state[x])
-        state[largest] -= 1
+        return Packing([], 0, 0)
+    tokens, bound = sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
+    best = best_fit(counts, capacity)
+    fewest = sum(n for n, _ in best)
+    state, path, waste = dict(counts), [], 0
+    reach = Reach(state, capacity)
+    stack: list[Iterator[tuple[int, tuple[int, ...]]]] = []
+    descending = True
+
+    def apply(uses: int, filling: tuple[int, ...]) -> int:
+        for x in filling:
+            state[x] -= uses
+        reach.update(state, set(filling))
+        return uses * (capacity - sum(filling))
+
+    if fewest > bound:
+        stack.append(_choices(dict(state), capacity, reach))
+    while stack:
         allowed = (fewest - 1) * capacity - tokens - waste
-        found = [(largest, *f) for f in fillings(state, capacity - largest, max(allowed, 0))]
-        state[largest] += 1
-        return found[::-1]
-
-    stack = [(0, options(0))] if fewest > bound else []
-    while stack and decisions > 0 and fewest > bound:
-        waste, open_ = stack[-1]
-        if len(path) >= len(stack):
-            uses, filling = path.pop()
-            for x in filling:
-                state[x] += uses
-        if not open_:
+        uses, filling = next(stack[-1], (0, ()))
+        spare = capacity - sum(filling)
+        if uses and spare:
+            # No more often than the bound still allows; fillings that follow waste as much or more.
+            uses = min(uses, allowed // spare)
+        if not uses or fewest <= bound or decisions <= 0:
+            descending = False
+            rest = best_fit({x: n for x, n in state.items() if n}, capacity)
+            if sum(n for n, _ in path) + sum(n for n, _ in rest) < fewest:
+                best = [*path, *rest]
+                fewest = sum(n for n, _ in best)
+            if fewest <= bound or decisions <= 0:
+                break
             stack.pop()
+            if path:
+                uses, filling = path.pop()
+                waste += apply(-uses, filling)
             continue
-        filling = open_.pop()
-        decisions -= 1
-        uses = _uses(filling, state)
-        later = waste + uses * (capacity - sum(filling))
-        if waste + (capacity - sum(filling)) > (fewest - 1) * capacity - tokens:
-            continue
-        if later > (fewest - 1) * capacity - tokens:
-            # As often as the bound still allows: the rest of this length is filled otherwise.
-            uses = max(1, ((fewest - 1) * capacity - tokens - waste) // max(1, capacity - sum(filling)))
-            later = waste + uses * (capacity - sum(filling))
-        for x in filling:
-            state[x] -= uses
+        decisions -= not descending
+        waste += apply(uses, filling)
         path.append((uses, filling))
         if any(state.values()):
-            stack.append((later, options(later)))
+            stack.append(_choices(dict(state), capacity, reach))
             continue
-        incumbent, fewest = list(path), sum(n for n, _ in path)
-        for x in filling:
-            state[x] += uses
+        best, descending = list(path), False
+        fewest = sum(n for n, _ in path)
         path.pop()
-    return incumbent
+        waste += apply(-uses, filling)
+        if fewest <= bound:
+            break
+    return Packing(best, fewest, bound)
 
 
 def places(plan: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -266,21 +317,21 @@ def places(plan: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored pieces (doc_id, piece, length, ...)."""
+    """Add ``sequence_id`` and ``offset`` to stored pieces (doc_id, piece, length, ids_crc32, salt, ...); ``salt`` goes."""
     spark = pieces.sparkSession
     # One row per length: no more than the capacity, whatever the input.
     counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = places(complete(counts, capacity))
+    rows = places(complete(counts, capacity).plan)
     schema = "length bigint, from_rank bigint, to_rank bigint, uses bigint, first_sequence bigint, first_offset bigint"
     plan = spark.createDataFrame(rows, schema)
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
+    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(SLICES)).cast("int"))
     ranked = positions(sliced, ["length"], ["_slice"], ["doc_id", "piece", "ids_crc32"], "_rank")
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumnRenamed("length", "_length")
     inside = (F.col("_length") == F.col("length")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank"))
-    placed = ranked.join(F.broadcast(plan), inside)
+    placed = ranked.join(plan, inside)
     along = F.col("_rank") - F.col("from_rank")
     return placed.select(
-        *[c for c in pieces.columns],
+        *[c for c in pieces.columns if c != "salt"],
         (F.col("first_sequence") + along % F.col("uses")).alias("sequence_id"),
         (F.col("first_offset") + F.expr("(_rank - from_rank) div uses") * F.col("length")).alias("offset"),
     )

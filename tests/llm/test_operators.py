@@ -507,7 +507,8 @@ def fewest(lengths, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_completion_is_optimal_on_small_input(lengths):
-    plan = packing.complete(Counter(lengths), 20)
+    plan, sequences, bound = packing.complete(Counter(lengths), 20)
+    assert bound <= sequences == sum(n for n, _ in plan)
     assert Counter(x for n, f in plan for x in f for _ in range(n)) == Counter(lengths)
     assert all(sum(f) <= 20 for _, f in plan)
     assert sum(n for n, _ in plan) == fewest(lengths, 20)
@@ -516,13 +517,59 @@ def test_completion_is_optimal_on_small_input(lengths):
 def test_completion_at_scale():
     draw = random.Random(8)
     counts = Counter(min(2048, max(1, int(draw.lognormvariate(6, 1.2)))) for _ in range(200_000))
-    plan = packing.complete(counts, 2048)
+    plan, sequences, bound = packing.complete(counts, 2048)
+    assert sequences - bound <= 1
     tokens = sum(x * n for x, n in counts.items())
     assert sum(n for n, _ in plan) <= -(-tokens // 2048) * 1.0005 + 1
     assert Counter({x: sum(n * f.count(x) for n, f in plan) for x in counts}) == counts
     assert len(plan) <= 3 * 2048
 
 
+@pytest.mark.parametrize(
+    "fillings",
+    [
+        [(10_000, (400,) * 3 + (212,) * 4)],
+        [(16_867, (339,) * 3 + (401, 169, 169, 146, 146))],
+        [(18_645, (257,) * 3 + (891, 110, 110, 114, 26, 26))],
+        [(700, (1000, 700, 348)), (900, (1000, 1000, 48)), (1100, (700, 700, 324, 324))],
+        [(5_000, (2000, 48)), (3_000, (1024, 1024))],
+        [(8_001, (1366, 682))],
+    ],
+)
+def test_known_full_packings(fillings):
+    """Mixes of two to five lengths that fill every sequence are found, whatever the counts."""
+    counts = Counter()
+    for uses, filling in fillings:
+        assert sum(filling) == 2048
+        for x in filling:
+            counts[x] += uses
+    found = packing.complete(counts, 2048)
+    assert found.sequences == found.bound == sum(uses for uses, _ in fillings)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 5), min_size=1, max_size=6))
+def test_fillings_leave_out_dominated_ones_alone(counts):
+    """Against all subsets around the largest: each is there, dominated by one that is, or has room for one more piece."""
+    largest = max(counts)
+    found = list(packing.fillings(dict(counts), 20))
+    assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True) and len(set(found)) == len(found)
+    ways = [()]
+    for x in sorted(counts, reverse=True):
+        ways = [w + (x,) * n for w in ways for n in range(counts[x] + 1) if sum(w) + n * x <= 20]
+    for w in ways:
+        if w and w[0] == largest and w not in found:
+            room = 20 - sum(w)
+            assert any(packing.dominates(f, w) for f in found) or any(x <= room and n > w.count(x) for x, n in counts.items())
+
+
+def test_bound_is_never_too_high():
+    draw = random.Random(4)
+    for _ in range(200):
+        lengths = [draw.randrange(1, 21) for _ in range(draw.randrange(1, 9))]
+        assert packing.lower_bound(Counter(lengths), 20) <= fewest(lengths, 20)
+
+
 def test_packing(spark, documents, plain):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -530,10 +577,7 @@ def test_packing(spark, documents, plain):
     for frame, rows in ((documents, [(i, t) for i, t, *_ in plain]), (df, odd)):
         want = []
         for i, t in rows:
-            ids = [*library.encode(t, add_special_tokens=False).ids, 0] if "endoftext" not in t else None
-            if ids is None:
-                library.encode_special_tokens = True
-                ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+            ids = [*library.encode(t, add_special_tokens=False).ids, 0]
             first = len(ids) % 2048 or 2048
             cuts = [0, *range(first, len(ids), 2048), len(ids)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
