@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +25,8 @@ from complyframe.llm.shared import stored
 from complyframe.operators.ordered import positions
 
 CAPACITY, END = 2048, 0
-#: Fillings chosen in all, beyond the first way down, before the best packing so far is taken and its gap reported.
-DECISIONS = 4_000
+#: Fillings looked at in all before the best packing so far is taken and its gap reported.
+EXAMINED = 20_000
 #: With at most FEW lengths left, fillings are put in order, this many at a time.
 FEW, ORDERED = 6, 256
 SLICES = 256
@@ -132,15 +132,26 @@ class Reach:
                         yield (x,) * n + rest
 
 
-def fillings(counts: dict[int, int], capacity: int, reach: Reach | None = None) -> Iterator[tuple[int, ...]]:
+class Budget:
+    """How many more fillings may be looked at."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+
+def fillings(
+    counts: dict[int, int], capacity: int, reach: Reach | None = None, budget: Budget | None = None
+) -> Iterator[tuple[int, ...]]:
     """Undominated fillings around the largest piece left, by rising waste.
 
     None is left out but those that an earlier one with at most a dozen pieces
     dominates: it holds as much in fewer, larger pieces. Which sums can be made
     is known beforehand, so no branch ends without a filling. A filling that
-    leaves room for another piece is not among them.
+    leaves room for another piece is not among them. The end comes early when
+    the budget is spent.
     """
-    reach = reach or Reach(counts, capacity)
+    reach, budget = reach or Reach(counts, capacity), budget or Budget(1 << 62)
+    present = sorted(x for x, n in counts.items() if n)
     first = next(k for k, x in enumerate(reach.lengths) if counts[x])
     largest = reach.lengths[first]
     earlier: list[tuple[int, ...]] = []
@@ -150,8 +161,11 @@ def fillings(counts: dict[int, int], capacity: int, reach: Reach | None = None)
             if not reach.sums[first + 1] >> (room - n * largest) & 1:
                 continue
             for rest in reach.exact(first + 1, room - n * largest):
+                if budget.left <= 0:
+                    return
+                budget.left -= 1
                 filling = (largest,) * (n + 1) + rest
-                if waste and any(x <= waste and counts[x] > filling.count(x) for x in reach.lengths):
+                if any(counts[x] > filling.count(x) for x in takewhile(lambda x: x <= waste, present)):  # noqa: B023
                     continue
                 if len(filling) <= 12 and any(dominates(e[n + 1 :], rest) for e in earlier if e[: n + 1] == filling[: n + 1]):
                     continue
@@ -217,13 +231,13 @@ def _balanced(found: Iterator[tuple[int, ...]], counts: dict[int, int], capacity
         yield from sorted(batch, key=lambda f: (-sum(f), sum(x * abs(f.count(x) - share * n) for x, n in counts.items())))
 
 
-def _choices(counts: dict[int, int], capacity: int, reach: Reach) -> Iterator[tuple[int, tuple[int, ...]]]:
+def _choices(counts: dict[int, int], capacity: int, reach: Reach, budget: Budget) -> Iterator[tuple[int, tuple[int, ...]]]:
     """Every filling, first as often as its pieces allow, then half as often, down to once.
 
     Of many lengths any full filling will do. Few must be used in proportion,
     or what is left no longer fits together.
     """
-    found = fillings(counts, capacity, reach)
+    found = fillings(counts, capacity, reach, budget)
     counts = {x: n for x, n in counts.items() if n}
     for filling in _balanced(found, counts, capacity) if len(counts) <= FEW else found:
         uses = _uses(filling, counts)
@@ -232,7 +246,7 @@ def _choices(counts: dict[int, int], capacity: int, reach: Reach) -> Iterator[tu
             uses //= 2
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int = DECISIONS) -> Packing:
+def complete(counts: dict[int, int], capacity: int = CAPACITY, examined: int = EXAMINED) -> Packing:
     """A packing of all pieces by bin completion.
 
     Depth-first branch and bound from the best-fit incumbent: at each step the
@@ -240,8 +254,8 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int =
     often. A branch ends when its waste so far shows that it cannot need fewer
     sequences than the incumbent; where the search stops, best fit completes
     the branch. It ends at the lower bound, which proves the packing best, or
-    after ``decisions`` more steps than the first way down; ``sequences -
-    bound`` is then the most that can be gained.
+    after ``examined`` fillings; ``sequences - bound`` is then the most that
+    can be gained.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
@@ -250,7 +264,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int =
     best = best_fit(counts, capacity)
     fewest = sum(n for n, _ in best)
     state, path, waste = dict(counts), [], 0
-    reach = Reach(state, capacity)
+    reach, budget = Reach(state, capacity), Budget(examined)
     stack: list[Iterator[tuple[int, tuple[int, ...]]]] = []
     descending = True
 
@@ -261,32 +275,34 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, decisions: int =
         return uses * (capacity - sum(filling))
 
     if fewest > bound:
-        stack.append(_choices(dict(state), capacity, reach))
+        stack.append(_choices(dict(state), capacity, reach, budget))
     while stack:
         allowed = (fewest - 1) * capacity - tokens - waste
         uses, filling = next(stack[-1], (0, ()))
         spare = capacity - sum(filling)
-        if uses and spare:
+        if allowed < 0:
+            uses = 0
+        elif uses and spare:
             # No more often than the bound still allows; fillings that follow waste as much or more.
             uses = min(uses, allowed // spare)
-        if not uses or fewest <= bound or decisions <= 0:
-            descending = False
-            rest = best_fit({x: n for x, n in state.items() if n}, capacity)
-            if sum(n for n, _ in path) + sum(n for n, _ in rest) < fewest:
-                best = [*path, *rest]
-                fewest = sum(n for n, _ in best)
-            if fewest <= bound or decisions <= 0:
+        if not uses:
+            if descending or budget.left <= 0:
+                rest = best_fit({x: n for x, n in state.items() if n}, capacity)
+                if sum(n for n, _ in path) + sum(n for n, _ in rest) < fewest:
+                    best = [*path, *rest]
+                    fewest = sum(n for n, _ in best)
+                descending = False
+            if fewest <= bound or budget.left <= 0:
                 break
             stack.pop()
             if path:
                 uses, filling = path.pop()
                 waste += apply(-uses, filling)
             continue
-        decisions -= not descending
         waste += apply(uses, filling)
         path.append((uses, filling))
         if any(state.values()):
-            stack.append(_choices(dict(state), capacity, reach))
+            stack.append(_choices(dict(state), capacity, reach, budget))
             continue
         best, descending = list(path), False
         fewest = sum(n for n, _ in path)
