@@ -27,32 +27,61 @@ WIDTH, PERCENT = 4, 85
 FREQUENT, KEPT = 16, 1 << 18
 #: Members of a leader are compared in tiles of about this many sets or tokens.
 TILE, TILE_TOKENS = 512, 1 << 20
-#: Words whose hashes a worker remembers, tokens counted at once, columns of a product of tiles.
-WORDS, FLUSH, COLUMNS = 1 << 20, 1 << 22, 1 << 13
+#: Bytes of text hashed at once, tokens counted at once, columns of a product of tiles.
+SPAN, FLUSH, COLUMNS = 1 << 18, 1 << 22, 1 << 13
+#: Rows of a few numbers that may go to every executor: some 64 MB there.
+BROADCAST = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are white space, and a fixed random number per byte, A-Z as a-z."""
+    space, value = np.zeros(256, bool), np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+    space[[32, *range(9, 14)]] = True
+    value[65:91] = value[97:123]
+    return space, value
 
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
 
+_SPACE, _VALUE = _tables()
+_BASE = 0x9E3779B97F4A7C55
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_WORDS = _Words()
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def words(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word: sums of its bytes' numbers times powers by place, without a loop over words."""
+    octets = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[octets], prepend=True, append=True))
+    first, last = edges[::2], edges[1::2]
+    found, k = [], 0
+    while k < len(first):
+        # A span of text at a time, at least one word.
+        until = max(k + 1, int(np.searchsorted(last, first[k] + SPAN, "right")))
+        start, end = first[k:until] - first[k], last[k:until] - first[k]
+        up, down = _powers(int(end[-1]))
+        sums = np.zeros(int(end[-1]) + 1, np.uint64)
+        np.cumsum(_VALUE[octets[first[k] : last[until - 1]]] * up[: end[-1]], out=sums[1:])
+        found.append((sums[end] - sums[start]) * down[start])
+        k = until
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a text as ascending 64-bit hashes; a shorter text is one shingle, one without words none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    wide = min(width, len(words))
-    n = len(words) - wide + 1
+    hashes = words(text)
+    if not len(hashes):
+        return hashes
+    wide = min(width, len(hashes))
+    n = len(hashes) - wide + 1
     mixed = np.full(n, wide, np.uint64)
     for k in range(wide):
         mixed ^= hashes[k : k + n]
@@ -71,6 +100,11 @@ def _texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("text"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has no more than BROADCAST rows; else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def classes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, key (a hash of the text), n (size of the set), cls (its 64-bit hash; null without shingles)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -91,15 +125,29 @@ def classes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.withColumn("key", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, key bigint, n bigint, cls bigint")
 
 
-def _once(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
-    """The different sets of a task."""
+def _once(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The different sets of a task, each behind its class."""
     seen: set[int] = set()
     for batch in batches:
         for text in batch.column("text"):
             tokens = shingles(text.as_py(), width)
             if len(tokens) and (own := _class(tokens)) not in seen:
                 seen.add(own)
-                yield tokens
+                yield own, tokens
+
+
+def gaps(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as 16-bit gaps; a gap of more than 65,534 takes several."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype(np.int64)
+    many, rest = np.divmod(steps, 0xFFFF)
+    out = np.full(int(many.sum()) + len(steps), 0xFFFF, np.uint16)
+    out[np.cumsum(many + 1) - 1] = rest
+    return out.tobytes()
+
+
+def from_gaps(octets: bytes) -> np.ndarray:
+    steps = np.frombuffer(octets, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 0xFFFF]
 
 
 def frequent(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +165,12 @@ def frequent(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
         ends = np.searchsorted(upper >> shift, np.arange(buckets), "right")
         parts = np.split(upper, ends[:-1])
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(buckets), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "upper"]
+            [pa.array(range(buckets), pa.int32()), pa.array(map(gaps, parts), pa.binary())], ["bucket", "upper"]
         )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for tokens in _once(batches, width):
+        for _, tokens in _once(batches, width):
             held.append(tokens)
             n += len(tokens)
             if n >= FLUSH:
@@ -132,10 +180,10 @@ def frequent(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
             yield dealt(held)
 
     def count(table: pa.Table) -> pa.Table:
-        upper = np.frombuffer(b"".join(table.column("upper").to_pylist()), np.uint32)
+        upper = np.concatenate([from_gaps(x) for x in table.column("upper").to_pylist()])
         values, n = np.unique(upper, return_counts=True)
         many = n >= FREQUENT
-        return pa.table({"upper": pa.array(values[many].astype(np.int64)), "n": pa.array(n[many].astype(np.int64))})
+        return pa.table({"upper": pa.array(values[many]), "n": pa.array(n[many].astype(np.int64))})
 
     counted = texts.mapInArrow(deal, "bucket int, upper binary").groupBy("bucket").applyInArrow(count, "upper bigint, n bigint")
     counted = stored(counted.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "frequent")
@@ -164,8 +212,12 @@ def prefix(tokens: np.ndarray, upper: np.ndarray, ranks: np.ndarray, percent: in
         return tokens[:size]
     high = (tokens >> np.uint64(32)).astype(np.uint32)
     at = np.minimum(np.searchsorted(upper, high), len(upper) - 1)
-    rank = np.where(upper[at] == high, ranks[at], 0)
-    return tokens[np.lexsort((tokens, rank))[:size]]
+    often = upper[at] == high
+    rare = tokens[~often][:size]
+    if len(rare) == size:
+        return rare
+    order = np.argsort(ranks[at[often]], kind="stable")
+    return np.concatenate([rare, tokens[often][order[: size - len(rare)]]])
 
 
 def postings(texts: DataFrame, order, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -187,8 +239,8 @@ def postings(texts: DataFrame, order, width: int = WIDTH, percent: int = PERCENT
                 ["token", "cls", "n", "pos"],
             )
 
-        for tokens in _once(batches, width):
-            held.append((prefix(tokens, upper, ranks, percent), _class(tokens), len(tokens)))
+        for own, tokens in _once(batches, width):
+            held.append((prefix(tokens, upper, ranks, percent), own, len(tokens)))
             if len(held) >= 2048:
                 yield filed()
                 held = []
@@ -209,7 +261,7 @@ def lists(filed: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks is skipped. There are a few dozen blocks in a list of any length.
     """
     ends = filed.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    repeated = ends.where("low <> high").select("token")
+    repeated = small(stored(ends.where("low <> high").select("token"), "repeated"))
     step = math.log(100 / percent) * 1.001
     held = filed.join(repeated, "token", "left_semi").distinct()
     held = stored(held.withColumn("own", F.floor(F.log("n") / step).cast("bigint")), "postings")
@@ -251,24 +303,35 @@ def members(held: DataFrame) -> DataFrame:
 
 
 def sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """cls and tokens of each row's set."""
+    """cls and tokens of the different sets, written once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                own = [s for text in batch.column("text")[start : start + 256] if len(s := shingles(text.as_py(), width))]
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(map(_class, own), pa.int64()), tokens], ["cls", "tokens"])
+        held, n = [], 0
+
+        def written() -> pa.RecordBatch:
+            tokens = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *[len(t) for _, t in held]]), pa.int32()), pa.array(np.concatenate([t for _, t in held]).view(np.int64))
+            )
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), tokens], ["cls", "tokens"])
+
+        for own in _once(batches, width):
+            held.append(own)
+            n += len(own[1])
+            if n >= FLUSH:
+                yield written()
+                held, n = [], 0
+        if held:
+            yield written()
 
-    return texts.mapInArrow(run, "cls bigint, tokens array<bigint>")
+    found = stored(texts.mapInArrow(run, "cls bigint, tokens array<bigint>"), "sets")
+    repeated = found.groupBy("cls").count().where("count > 1").limit(1).count()
+    return stored(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets") if repeated else found
 
 
 def answers(led: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each member beside its leader: common, linked, and the member as changes to the leader's set or, if shorter, whole."""
-    facts = led.join(held, "cls")
-    lookup = led.select("leader", "tiles").distinct().join(held.withColumnsRenamed({"cls": "leader", "tokens": "led"}), "leader")
+    facts = held.join(small(led.where("cls <> leader")), "cls")
+    lookup = small(stored(led.select("leader", "tiles").distinct(), "leaders")).join(held.withColumnsRenamed({"cls": "leader", "tokens": "led"}), "leader")
     lookup = lookup.select("leader", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "led")
     joined = facts.join(lookup, ["leader", "tile"])
     columns = ["cls", "n", "leader", "leader_n", "tiles", "tile"]
@@ -297,7 +360,10 @@ def answers(led: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFram
             )
 
     schema = "cls bigint, n bigint, leader bigint, leader_n bigint, tiles int, tile int, common bigint, linked boolean, relative boolean, plus array<bigint>, minus array<bigint>"
-    return joined.select(*columns, "tokens", "led").mapInArrow(run, schema)
+    none = F.array().cast("array<bigint>")
+    itself = led.where("cls = leader").select(*columns, F.col("n").alias("common"), F.lit(True).alias("linked"), F.lit(True).alias("relative"))
+    itself = itself.withColumns({"plus": none, "minus": none})
+    return joined.select(*columns, "tokens", "led").mapInArrow(run, schema).unionByName(itself)
 
 
 def _incidence(lists_: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -381,14 +447,14 @@ def near_sets(
     own = stored(classes(texts, width), "classes")
     order = spark.sparkContext.broadcast(frequent(texts, width))
     filed = stored(postings(texts, order, width, percent), "lists")
-    led = stored(members(lists(filed, percent)), "members")
+    led = stored(members(stored(lists(filed, percent), "alive")), "members")
     # One row stands for a class: the one with the least id, told from rows of the same id by its text.
     wanted = own.join(led.select("cls").distinct(), "cls", "left_semi")
     wanted = wanted.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select("r.doc_id", "r.key")
-    renamed = wanted.distinct().withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    renamed = small(stored(wanted.distinct().withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "wanted"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    held = sets(texts.join(renamed, same, "left_semi"), width).groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    answered = stored(answers(led, stored(held, "sets"), percent), "answers")
+    held = sets(texts.join(renamed, same, "left_semi"), width)
+    answered = stored(answers(led, held, percent), "answers")
     found = answered.where("linked AND cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
     groups = components(found.unionByName(others(answered, percent)), "a", "b")
     firsts = own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))

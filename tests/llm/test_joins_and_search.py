@@ -122,6 +122,27 @@ def test_overlaps_from_a_leader(leader, others):
         assert (got[apart] == want[apart]).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "\x0b", "\x1c", "a", "A", "b", "é", "É", "\x85", "word", "x" * 40]), max_size=60))
+def test_words_by_hash(parts):
+    """Equal hashes and equal words are the same, in any span."""
+    text = "".join(parts).encode()
+    plain = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    for span in (1, 7, jaccard.SPAN):
+        held, jaccard.SPAN = jaccard.SPAN, span
+        got = jaccard.words(text).tolist()
+        jaccard.SPAN = held
+        assert len(got) == len(plain) and len(set(zip(got, plain, strict=True))) == len(set(got)) == len(set(plain))
+        assert got == [jaccard.words(w)[0] for w in plain]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_gaps(values):
+    values = np.array(sorted(values), np.uint32)
+    assert jaccard.from_gaps(jaccard.gaps(values)).tolist() == values.tolist()
+
+
 def test_answers_derived_not_compared(spark):
     """Members that all link with their leader make no pairs of tiles."""
     rows = spark.createDataFrame([(1, 1, True), (2, 1, True), (5, 5, True), (6, 5, False)], "cls bigint, leader bigint, linked boolean")
