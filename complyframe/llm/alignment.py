@@ -23,7 +23,9 @@ from complyframe.llm.pieces import chunks
 from complyframe.llm.shared import stored
 
 #: Characters of text aligned at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows whose links are grouped at once.
+ROWS = 256
 
 
 class Pair:
@@ -40,6 +42,9 @@ class Pair:
             octets[i] = token
         self.bytes_a = pa.array(octets, pa.binary())
         self.bytes_b = pa.array([self._piece(i) for i in range(self.b.get_piece_size())], pa.binary())
+        # A pair of ids is one number.
+        self.radix = len(self.bytes_b)
+        self.code = np.dtype("<i4" if len(self.bytes_a) * self.radix < 1 << 31 else "<i8")
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -82,7 +87,7 @@ def _grouped(ids: pa.Array, last: np.ndarray) -> pa.Array:
 
 
 def aligned(texts: list[bytes], pair: Pair) -> pa.Table:
-    """Per text: n_a, n_b, n_groups, n_links, groups_sha256 and the linked id pairs (a, b) in order."""
+    """Per text: n_a, n_b, n_groups, n_links, groups_sha256 and ``links``, the codes of the linked id pairs in order."""
     whole = [text.decode("utf-8", "replace") for text in texts]
     lists_a = _lists([pair.a.encode(" " + text) if text else [] for text in whole])
     lists_b = _lists([found if text else [] for text, found in zip(whole, pair.b.encode(whole, num_threads=1), strict=True)])
@@ -112,7 +117,9 @@ def aligned(texts: list[bytes], pair: Pair) -> pa.Table:
         out[where] = values
         return pa.array(out, kind)
 
-    offsets = pa.array(np.concatenate([[0], np.cumsum(spread(n_links).to_numpy())]), pa.int32())
+    codes = (links.column("a").to_numpy().astype(np.int64) * pair.radix + links.column("b").to_numpy()).astype(pair.code)
+    offsets = np.concatenate([[0], np.cumsum(spread(n_links).to_numpy())]) * pair.code.itemsize
+    octets = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes)])
     return pa.table(
         {
             "n_a": spread(pc.list_value_length(lists_a).to_numpy()),
@@ -120,17 +127,16 @@ def aligned(texts: list[bytes], pair: Pair) -> pa.Table:
             "n_groups": spread(groups),
             "n_links": spread(n_links),
             "groups_sha256": spread(digests, pa.string(), ""),
-            "a": pa.ListArray.from_arrays(offsets, links.column("a").combine_chunks()),
-            "b": pa.ListArray.from_arrays(offsets, links.column("b").combine_chunks()),
+            "links": octets,
         }
     )
 
 
-LINKED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, a array<int>, b array<int>"
+LINKED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary"
 
 
 def links(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links as arrays of A ids and of B ids."""
+    """Per row: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and ``links`` (a * radix + b per link, see ``Pair``)."""
     source = df.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +150,29 @@ def links(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", te
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {LINKED}")
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
-    """(a, b, n) over all rows: grouped by Arrow in the tasks, merged by Spark."""
+def _coded(octets: pa.Array, code: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """(links per row, all codes) of a column of links."""
+    held = octets.drop_null()
+    flat = np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in held), code)
+    return pc.binary_length(held).to_numpy(zero_copy_only=False) // code.itemsize, pa.array(flat)
+
+
+def pair_counts(linked: DataFrame, code: np.dtype) -> DataFrame:
+    """(code, n) over all rows: grouped by Arrow in the tasks, merged by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            own = pa.table({"a": batch.column("a").flatten(), "b": batch.column("b").flatten()})
-            own = own.group_by(["a", "b"]).aggregate([([], "count_all")]).rename_columns({"count_all": "n"})
-            held = own if held is None else pa.concat_tables([held, own]).group_by(["a", "b"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            for first in range(0, len(batch), ROWS):
+                own = pa.table({"code": _coded(batch.column("links")[first : first + ROWS], code)[1]})
+                own = own.group_by("code").aggregate([([], "count_all")]).rename_columns({"count_all": "n"})
+                both = own if held is None else pa.concat_tables([held, own])
+                held = both.group_by("code").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
         if held is not None:
-            yield from held.select(["a", "b", "n"]).combine_chunks().to_batches()
+            merged = pa.table({"code": held.column("code").cast(pa.int64()), "n": held.column("n")})
+            yield from merged.combine_chunks().to_batches()
 
-    return linked.select("a", "b").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return linked.select("links").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def align(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -170,15 +186,16 @@ def align(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", te
     reach the driver are bounded by the two vocabularies, see ``Pair.bound``.
     """
     linked = stored(links(df, path_a, path_b, id_column, text_column), "links")
-    table = pair_counts(linked).toArrow()
-    bound = Pair.load(path_a, path_b).bound()
+    pair = Pair.load(path_a, path_b)
+    code, radix, bound = pair.code, pair.radix, pair.bound()
+    table = pair_counts(linked, code).toArrow()
     if table.num_rows > bound:
         raise RuntimeError(f"{table.num_rows} id pairs, where {bound} are possible")
-    most = table.group_by("b").aggregate([("n", "max")])
-    table = table.join(most, "b")
+    table = table.append_column("b", pa.array(table.column("code").to_numpy() % radix))
+    table = table.join(table.group_by("b").aggregate([("n", "max")]), "b")
     best = pc.equal(table.column("n"), table.column("n_max")).cast(pa.int64())
     sink = pa.BufferOutputStream()
-    known = pa.table({"a": table.column("a"), "b": table.column("b"), "n": table.column("n"), "best": best})
+    known = pa.table({"code": table.column("code"), "n": table.column("n"), "best": best})
     with pa.ipc.new_stream(sink, known.schema) as out:
         out.write_table(known)
     shared = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
@@ -188,10 +205,11 @@ def align(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.ipc.open_stream(shared.value).read_all()
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.slice(first, 512)
-                held = pa.table({"row": pc.list_parent_indices(part.column("a")), "a": part.column("a").flatten(), "b": part.column("b").flatten()})
-                own = held.group_by(["row", "a", "b"]).aggregate([([], "count_all")]).join(known, ["a", "b"])
+            for first in range(0, len(batch), ROWS):
+                part = batch.slice(first, ROWS)
+                sizes, codes = _coded(part.column("links"), code)
+                held = pa.table({"row": np.repeat(np.arange(len(part)), sizes), "code": codes.cast(pa.int64())})
+                own = held.group_by(["row", "code"]).aggregate([([], "count_all")]).join(known, "code")
                 rows, times = own.column("row").to_numpy(), own.column("count_all").to_numpy()
                 sums = [np.zeros(len(part), np.int64) for _ in range(2)]
                 for total, name in zip(sums, ("best", "n"), strict=True):
@@ -199,4 +217,4 @@ def align(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *map(pa.array, sums)], [*kept, "n_best", "count_sum"])
 
     schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint"
-    return linked.select(*kept, "a", "b").mapInArrow(run, schema)
+    return linked.select(*kept, "links").mapInArrow(run, schema)

@@ -302,50 +302,63 @@ def members(held: DataFrame) -> DataFrame:
     return led.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles").cast("bigint")).cast("int"))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Ascending tokens by their upper 48 bits, six bytes each: what sets are compared by."""
+    return tokens.view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(octets: bytes) -> np.ndarray:
+    held = np.zeros((len(octets) // 6, 8), np.uint8)
+    held[:, 2:] = np.frombuffer(octets, np.uint8).reshape(-1, 6)
+    return held.view("<u8").ravel()
+
+
 def sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """cls and tokens of the different sets, written once each."""
+    """cls and tokens of the different sets of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def written() -> pa.RecordBatch:
-            tokens = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *[len(t) for _, t in held]]), pa.int32()), pa.array(np.concatenate([t for _, t in held]).view(np.int64))
-            )
+        def gathered() -> pa.RecordBatch:
+            tokens = pa.array([packed(t) for _, t in held], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), tokens], ["cls", "tokens"])
 
         for own in _once(batches, width):
             held.append(own)
             n += len(own[1])
             if n >= FLUSH:
-                yield written()
+                yield gathered()
                 held, n = [], 0
         if held:
-            yield written()
+            yield gathered()
 
-    found = stored(texts.mapInArrow(run, "cls bigint, tokens array<bigint>"), "sets")
-    repeated = found.groupBy("cls").count().where("count > 1").limit(1).count()
-    return stored(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets") if repeated else found
+    return texts.mapInArrow(run, "cls bigint, tokens binary")
 
 
 def answers(led: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each member beside its leader: common, linked, and the member as changes to the leader's set or, if shorter, whole."""
-    facts = held.join(small(led.where("cls <> leader")), "cls")
+    """Each other member beside its leader: common and linked, and the member as changes to the leader's set or, if shorter, whole.
+
+    A leader's only other member is answered by that alone and left without its set.
+    """
+    rest = led.where("cls <> leader")
+    led = rest.join(rest.groupBy("leader").agg(F.count(F.lit(1)).alias("members")), "leader")
+    facts = held.join(small(stored(led, "led")), "cls")
     lookup = small(stored(led.select("leader", "tiles").distinct(), "leaders")).join(held.withColumnsRenamed({"cls": "leader", "tokens": "led"}), "leader")
     lookup = lookup.select("leader", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "led")
     joined = facts.join(lookup, ["leader", "tile"])
-    columns = ["cls", "n", "leader", "leader_n", "tiles", "tile"]
+    columns = ["cls", "n", "leader", "leader_n", "tiles", "tile", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for own, led, n, m in zip(*[batch.column(c) for c in ("tokens", "led", "n", "leader_n")], strict=True):
-                a, b, n, m = own.values.to_numpy(), led.values.to_numpy(), n.as_py(), m.as_py()
+            for own, led, n, m, members in zip(*[batch.column(c) for c in ("tokens", "led", "n", "leader_n", "members")], strict=True):
+                a, b, n, m = unpacked(own.as_py()), unpacked(led.as_py()), n.as_py(), m.as_py()
                 plus, minus = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
                 common = n - len(plus)
                 relative = len(plus) + len(minus) < n
                 linked = (100 + percent) * common >= percent * (n + m)
-                rows.append((common, linked, relative, plus if relative else a, minus if relative else minus[:0]))
+                kept = (plus, minus) if relative else (a, minus[:0])
+                rows.append((common, linked, relative, *((None, None) if members.as_py() == 1 else map(packed, kept))))
             common, linked, relative, plus, minus = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -353,17 +366,14 @@ def answers(led: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFram
                     pa.array(common, pa.int64()),
                     pa.array(linked, pa.bool_()),
                     pa.array(relative, pa.bool_()),
-                    pa.array(plus, pa.list_(pa.int64())),
-                    pa.array(minus, pa.list_(pa.int64())),
+                    pa.array(plus, pa.binary()),
+                    pa.array(minus, pa.binary()),
                 ],
                 [*columns, "common", "linked", "relative", "plus", "minus"],
             )
 
-    schema = "cls bigint, n bigint, leader bigint, leader_n bigint, tiles int, tile int, common bigint, linked boolean, relative boolean, plus array<bigint>, minus array<bigint>"
-    none = F.array().cast("array<bigint>")
-    itself = led.where("cls = leader").select(*columns, F.col("n").alias("common"), F.lit(True).alias("linked"), F.lit(True).alias("relative"))
-    itself = itself.withColumns({"plus": none, "minus": none})
-    return joined.select(*columns, "tokens", "led").mapInArrow(run, schema).unionByName(itself)
+    schema = "cls bigint, n bigint, leader bigint, leader_n bigint, tiles int, tile int, members bigint, common bigint, linked boolean, relative boolean, plus binary, minus binary"
+    return joined.select(*columns, "tokens", "led").mapInArrow(run, schema)
 
 
 def _incidence(lists_: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -404,7 +414,7 @@ def tile_links(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """(a, b) that join the sets of a pair of tiles as its links do: each set with the least of those it reaches."""
     n, common = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "common"))
     linked, relative = (np.array(table.column(c).to_pylist(), bool) for c in ("linked", "relative"))
-    plus, minus = ([x.values.to_numpy() for x in table.column(c)] for c in ("plus", "minus"))
+    plus, minus = ([unpacked(x.as_py()) for x in table.column(c)] for c in ("plus", "minus"))
     shared = overlaps(n, table.column("leader_n")[0].as_py(), common, relative, plus, minus)
     near = (100 + percent) * shared >= percent * (n[:, None] + n[None, :])
     # Both link with the leader: that is known already.
@@ -423,8 +433,9 @@ def tile_links(table: pa.Table, percent: int = PERCENT) -> pa.Table:
 
 def others(answered: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between members of a leader that are not both linked with it, found in pairs of tiles."""
-    open_ = answered.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("apart")).where("apart > 0").select("leader")
-    held = answered.join(open_, "leader", "left_semi")
+    several = answered.where("members > 1")
+    open_ = several.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("apart")).where("apart > 0").select("leader")
+    held = several.join(small(stored(open_, "open")), "leader", "left_semi")
     partner = F.explode(F.expr("sequence(0, tiles - 1)")).alias("partner")
     dealt = held.select("leader", "tile", partner, "cls", "n", "leader_n", "common", "linked", "relative", "plus", "minus")
     dealt = dealt.select("*", F.least("tile", "partner").alias("x"), F.greatest("tile", "partner").alias("y"))
@@ -440,7 +451,9 @@ def near_sets(
     empty set links with nothing, not even its like, and is its own component.
     A row with a null id gets the component of its set, null if no row there
     has an id. Rows come out as often as they came in; other columns are
-    dropped. Shingles and sets are known by 64-bit hashes.
+    dropped. Shingles and sets are known by 64-bit hashes, of which sets that
+    are compared carry 48 bits: of two sets of a thousand, one shingle too many
+    is found in common with a chance of 4 in a billion.
     """
     spark = df.sparkSession
     texts = _texts(df, id_column, text_column)
@@ -453,9 +466,12 @@ def near_sets(
     wanted = wanted.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select("r.doc_id", "r.key")
     renamed = small(stored(wanted.distinct().withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "wanted"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    held = sets(texts.join(renamed, same, "left_semi"), width)
-    answered = stored(answers(led, held, percent), "answers")
-    found = answered.where("linked AND cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    chosen = texts.join(renamed, same, "left_semi")
+    if chosen.count() > renamed.count():
+        chosen = chosen.dropDuplicates(["doc_id", "text"])
+    # Worked out for members and again for leaders: cheaper than to write and shuffle.
+    answered = stored(answers(led, sets(chosen, width), percent), "answers")
+    found = answered.where("linked").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
     groups = components(found.unionByName(others(answered, percent)), "a", "b")
     firsts = own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
     placed = firsts.join(groups, firsts["cls"] == groups["node"], "left").select("cls", "first", F.coalesce("component", "cls").alias("g"))
