@@ -33,16 +33,17 @@ VIEWS: dict[str, str] = {
     "v_places": """
         SELECT p.product_id, p.product_type, p.market_id, j.jurisdiction
         FROM v_product_markets p JOIN v_market_jurisdictions j ON p.market_id = j.market_id""",
+    "v_vocabulary": "SELECT 20 + COUNT(*) // 4 AS substances FROM part",
     "v_ingredients": """
-        SELECT l_partkey AS product_id, CONCAT('sub_', CAST(l_suppkey % 20 AS STRING)) AS substance,
+        SELECT l_partkey AS product_id, CONCAT('sub_', CAST((l_partkey + l_suppkey % 20 * 7) % (SELECT substances FROM v_vocabulary) AS STRING)) AS substance,
                MAX(CASE WHEN l_tax = 0.0 THEN NULL ELSE CAST(l_discount AS DECIMAL(18,6)) END) AS amount,
                'percent_w_w' AS unit,
                CAST(MAX(CASE WHEN l_tax = 0.0 THEN NULL ELSE CAST(l_discount AS DECIMAL(10,6)) END)
                     * CAST(10000 AS DECIMAL(6,0)) AS DECIMAL(18,6)) AS amount_base
-        FROM lineitem GROUP BY l_partkey, l_suppkey % 20""",
+        FROM lineitem GROUP BY l_partkey, (l_partkey + l_suppkey % 20 * 7) % (SELECT substances FROM v_vocabulary)""",
     "v_clause_rows": """
         SELECT o.o_orderkey AS clause_id, o.o_orderkey % 1000 AS document_id,
-          CONCAT('sub_', CAST(o.o_orderkey % 20 AS STRING)) AS substance,
+          CONCAT('sub_', CAST(o.o_orderkey % (SELECT substances FROM v_vocabulary) AS STRING)) AS substance,
           CASE WHEN o.o_orderkey % 2 = 0 THEN CONCAT('N', CAST(n.n_nationkey AS STRING))
                ELSE CONCAT('R', CAST(n.n_regionkey AS STRING)) END AS jurisdiction,
           CASE o.o_custkey % 10 WHEN 7 THEN 'documentation' WHEN 8 THEN 'labeling' WHEN 9 THEN 'certification'

@@ -91,12 +91,18 @@ class Tables:
     def places(self) -> DataFrame:
         return impact.expand_markets(self.product_markets(), self.market_jurisdictions())
 
+    @_once
+    def substances(self) -> int:
+        """How many substances there are: some 20, and more as products do, so that each meets a few clauses."""
+        return 20 + self.table("part").count() // 4
+
     @_once
     def ingredients(self) -> DataFrame:
+        number = (F.col("l_partkey") + F.col("l_suppkey") % 20 * 7) % self.substances()
         known = F.when(F.col("l_tax") != 0.0, F.col("l_discount").cast(AMOUNT))
         return (
             self.table("lineitem")
-            .groupBy(F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 20).alias("_s"))
+            .groupBy(F.col("l_partkey").alias("product_id"), number.alias("_s"))
             .agg(F.max(known).alias("amount"))
             .select(
                 "product_id",
@@ -126,7 +132,7 @@ class Tables:
         rows = joined.select(
             key.alias("clause_id"),
             (key % 1000).alias("document_id"),
-            _label("sub_", key % 20).alias("substance"),
+            _label("sub_", key % self.substances()).alias("substance"),
             F.when(key % 2 == 0, _label("N", F.col("n_nationkey")))
             .otherwise(_label("R", F.col("n_regionkey")))
             .alias("jurisdiction"),
