@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from complyframe.operators import counts as requirement_count
 from complyframe.operators import extract, grounding, impact, metrics, reconcile, timeline, validate
 from complyframe.plans.joins import query_log
 from complyframe.plans.registry import query
@@ -77,7 +78,7 @@ def compliance_rollup_of_recipes(t):
          CAST(critical + to_review + passed AS STRING)) AS checks_passed FROM v_status_before""",
 )
 def issue_counts(t):
-    counts = impact.rollup(t.requirements(), t.product_markets())
+    counts = requirement_count.issue_counts(t.places(), t.product_markets(), t.ingredients(), t.current())
     total = (F.col("critical") + F.col("to_review") + F.col("passed")).cast("string")
     return counts.withColumn("checks_passed", F.concat(F.col("passed").cast("string"), F.lit(" of "), total))
 
@@ -346,8 +347,7 @@ def rejections_by_field(t):
     """SELECT evaluation, jurisdiction, clause_type, COUNT(*) AS requirements FROM v_req_before GROUP BY 1, 2, 3""",
 )
 def requirement_counts(t):
-    counts = t.requirements().groupBy("evaluation", "jurisdiction", "clause_type")
-    return counts.agg(F.count(F.lit(1)).alias("requirements"))
+    return requirement_count.requirement_counts(t.places(), t.ingredients(), t.current())
 
 
 @query(
