@@ -15,9 +15,11 @@ from complyframe.operators.joins import salted_join
 # Ours: how a limit is stated in prose. Groups: substance, number, raw unit. The
 # listed unit spellings go first, so that prose behind them is not taken along.
 _LISTED_UNITS = "|".join(re.escape(u) for u in sorted(UNIT_SYNONYMS, key=lambda u: (-len(u), u)))
-OPENING = r"(?:maximum|permitted) (?:level|limit|amount) of "
+OPENING = r"(?:maximum|permitted) (?:level|limit|amount) of\s"
 NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
-STATEMENT = rf"(?i){OPENING}([^\n]+?) is ({NUMBER}) ?((?:{_LISTED_UNITS})(?![a-z/_])|[a-z%][a-z/% ]*)"
+# A statement stays within its sentence, which may run over a line end but not over an empty line. Without
+# a unit it is still a statement, for review.
+STATEMENT = rf"(?is){OPENING}((?:(?!(?-i:\.\s+[A-Z])|\n\s*\n).)+?)\sis\s({NUMBER})(?: ?((?:{_LISTED_UNITS})(?![a-z/_])|[a-z%][a-z/% ]*))?"
 
 # Ours: what makes a section worth extracting from, tried in this order.
 CATEGORIES = (
@@ -43,12 +45,12 @@ def statements(body: Column) -> Column:
 
 def stated_substance(statement: Column) -> Column:
     """The name between the last opening and the number."""
-    return F.regexp_replace(F.regexp_extract(statement, STATEMENT, 1), f"(?i)^.*{OPENING}", "")
+    return F.regexp_replace(F.regexp_extract(statement, STATEMENT, 1), f"(?is)^.*{OPENING}", "")
 
 
 def stated_number(digits: Column) -> Column:
-    """Commas before three digits group thousands, another comma is a decimal one."""
-    grouped = digits.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.|$)")
+    """Commas before three digits group thousands unless a zero leads; another comma is a decimal one."""
+    grouped = digits.rlike(r"^[1-9][0-9]{0,2}(,[0-9]{3})+(\.|$)")
     return F.when(grouped, F.replace(digits, F.lit(","))).otherwise(F.replace(digits, F.lit(","), F.lit("."))).try_cast(text.AMOUNT)
 
 

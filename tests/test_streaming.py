@@ -15,27 +15,32 @@ from complyframe.streaming import stages
 from complyframe.streaming.logs import ChangeLog, drain, drain_to_files
 
 
-def push(payload, message_id="msg-1", raw=None, **attributes):
-    data = raw if raw is not None else base64.b64encode(json.dumps(payload).encode()).decode()
-    return ((data, attributes, message_id, "2026-08-19T00:00:00Z"), "s")
+def delivered(data, name="delivery-7", **attributes):
+    """One pushed row: the envelope around ``data``, which is base64 text or null."""
+    return ((data, attributes, name, None), None)
+
+
+def packed(text):
+    return base64.b64encode(text.encode()).decode()
 
 
 def test_envelopes(spark):
+    """Good, traced, without data, unreadable in two ways, without a message, without an id: by delivery name."""
     rows = [
-        push({"document_id": "abc"}),
-        push({}, trace_id="t-123"),
-        ((None, {}, "m", None), "s"),
-        push(None, raw=base64.b64encode(b"{bad").decode()),
-        push(None, raw="%%%"),
-        (None, "s"),
-        push({"a": "ü"}, message_id=None),
+        delivered(packed(json.dumps({"document_id": "regulation 9"})), "plain"),
+        delivered(packed("{}"), "traced", trace_id="journey 42"),
+        delivered(None, "without data"),
+        delivered(packed('["open'), "broken json"),
+        delivered("not base64!", "broken base64"),
+        (None, None),
+        delivered(packed('{"name": "Käse"}'), None),
     ]
-    got = messages.decode(spark.createDataFrame(rows, PUSH_MESSAGES)).collect()
-    assert json.loads(got[0]["payload"]) == {"document_id": "abc"} and got[0]["message_id"] == "msg-1"
-    assert got[0]["trace_id"] is None and got[1]["trace_id"] == "t-123"
-    assert got[2]["payload"] == "{}"
-    assert [r["problem"] for r in got] == [None, None, None, "bad_json", "bad_base64", "no_message", None]
-    assert got[6]["message_id"] == "" and json.loads(got[6]["payload"]) == {"a": "ü"}
+    got = {r["message_id"]: r for r in messages.decode(spark.createDataFrame(rows, PUSH_MESSAGES)).collect() if r["problem"] != "no_message"}
+    assert len(got) == 6
+    assert json.loads(got["plain"]["payload"])["document_id"] == "regulation 9" and got["plain"]["trace_id"] is None
+    assert got["traced"]["trace_id"] == "journey 42" and got["without data"]["payload"] == "{}"
+    assert {name: r["problem"] for name, r in got.items() if r["problem"]} == {"broken json": "bad_json", "broken base64": "bad_base64"}
+    assert json.loads(got[""]["payload"]) == {"name": "Käse"}
 
 
 def test_processed_messages_are_dropped_but_blank_ids_pass(spark):
