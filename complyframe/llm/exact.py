@@ -62,10 +62,13 @@ def duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def deduplicated(df: DataFrame, flags: DataFrame) -> DataFrame:
     """The rows of ``df`` that ``flags`` (of :func:`duplicates`, stored) keeps, with all their columns."""
-    marked = df.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    own = "_sha"
+    while own in df.columns:
+        own += "_"
+    marked = df.withColumn(own, F.sha2(normalised(F.col("text")), 256))
     kept = flags.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_kept_sha"])
+    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked[own] == kept["_kept_sha"])
     rows = marked.join(kept, same, "left_semi")
     if not flags.where("copy > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_sha"])
+        rows = rows.dropDuplicates(["doc_id", own])
     return rows.select(*df.columns)
