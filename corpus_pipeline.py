@@ -10,15 +10,31 @@ from complyframe.llm import exact, packing, rules, simhash
 from complyframe.llm.shared import stored
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, or null, is among ``ids``; rows that repeat an id share its fate."""
-    kept = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not use."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of id and whole text, in the order of ids, rows without one last; and its name."""
+    name = _free(docs, "_row")
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("sha"))
+    return docs.withColumn(name, key), name
+
+
+def _only(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among ``keys``; only rows equal in id and text share their fate."""
+    kept = keys.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[name] == kept["_kept"], "left_semi").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _only(docs, rules.judge(docs).where("kept"))
+    keyed, name = _keyed(docs)
+    return _only(keyed, name, rules.judge(keyed, name).where("kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +43,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one document stays, the one with the smallest id."""
-    return _only(docs, simhash.near_duplicates(docs).where("doc_id <=> component_id"))
+    """Of each component one document stays, the one with the smallest id, or the smallest digest where ids repeat."""
+    keyed, name = _keyed(docs)
+    return _only(keyed, name, simhash.near_duplicates(keyed, id_column=name).where("doc_id = component_id"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +59,7 @@ STAGES = [
     ("simhash_dedup", simhash_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
-#: Robust estimates and bin completion are beyond SQL; tests/llm holds the stages against plain versions.
+#: Robust estimates and bin completion are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
