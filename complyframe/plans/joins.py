@@ -323,12 +323,10 @@ def jurisdiction_comparison(t):
     """SELECT DISTINCT p.product_id, p.market_id, i.substance, 'no_data' AS finding FROM v_places p
        JOIN v_ingredients i ON i.product_id = p.product_id
        WHERE NOT EXISTS (SELECT 1 FROM v_current c JOIN v_market_jurisdictions j ON j.jurisdiction = c.jurisdiction
-                         WHERE j.market_id = p.market_id AND c.substance = i.substance
-                           AND c.source_type = 'official_regulation' AND c.confidence >= 0.8)""",
+                         WHERE j.market_id = p.market_id AND c.substance = i.substance)""",
 )
 def coverage_gaps(t):
-    trusted = t.current().where("source_type = 'official_regulation' AND confidence >= 0.8")
-    return impact.coverage_gaps(t.places(), t.ingredients(), trusted)
+    return impact.coverage_gaps(t.places(), t.ingredients(), t.current())
 
 
 add_view(
@@ -418,12 +416,10 @@ def citation_grounding(t):
 @query(
     "c23_conflicts_of_products",
     """SELECT DISTINCT r.product_id, c.clause_a, c.clause_b FROM v_req_before r JOIN v_conflicts c
-       ON r.clause_id = c.clause_a OR r.clause_id = c.clause_b
-       WHERE r.clause_type = 'numeric_limit' AND r.evaluation = 'fail'""",
+       ON r.clause_id = c.clause_a OR r.clause_id = c.clause_b""",
 )
 def conflicts_of_products(t):
-    failing = t.requirements().where("clause_type = 'numeric_limit' AND evaluation = 'fail'")
-    return grounding.conflicts_of(failing, reconcile.conflicts(t.current()))
+    return grounding.conflicts_of(t.requirements(), reconcile.conflicts(t.current()))
 
 
 @query(
