@@ -109,6 +109,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _unescaped_sql(x: str) -> str:
+    hexadecimal = "CAST('0x' || p[4:-2] AS BIGINT)"
+    code = f"CASE WHEN regexp_matches(p, '^&#[0-9]+;$') THEN CAST(p[3:-2] AS INTEGER) WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') THEN {hexadecimal} END"
+    named = "WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' WHEN '&apos;' THEN chr(39)"
+    whole = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) ELSE CASE p {named} ELSE p END END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s)&#[0-9]{{1,7}};|&#[xX][0-9a-fA-F]{{1,6}};|&[a-z]+;|[^&]+|&'), lambda p: {whole}), '')"
+
+
+def _without_dots_sql(path: str) -> str:
+    step = "CASE s WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END"
+    return f"list_reduce(string_split(regexp_replace({path}, '/(\\.\\.?)$', '/\\1/'), '/'), lambda a, s: {step})"
+
+
+def _node_sql(url: str) -> str:
+    site = f"translate(regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+    path, query = (f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)([^#]*)', {k})" for k in (1, 2))
+    return f"{site} || {_without_dots_sql(path)} || {query}"
+
+
+def _resolved_sql(url: str, link: str) -> str:
+    return f"""CASE
+    WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link}
+    WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN {link} LIKE '#%' THEN {url}
+    WHEN {link} LIKE '//%' THEN regexp_extract({url}, '(?s)^(.*?)://', 1) || ':' || {link}
+    WHEN {link} LIKE '/%' THEN regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || {link}
+    WHEN {link} LIKE '?%' THEN regexp_extract({url}, '(?s)^(.*?://[^?#]*)', 1) || {link}
+    ELSE regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || {link}
+  END"""
+
+
 ORACLES: dict[str, str] = {
     "op12_lexical_search": lexical.SEARCH_SQL,
     "op3_licence_scan": licences.scan_sql(),
@@ -127,39 +158,30 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
   CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> latest THEN latest END AS refers_to
 FROM l""",
-    "op8_url_filter": r"""
+    "op8_url_filter": rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ),
 tag AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
+  SELECT url, {_unescaped_sql("""regexp_extract(html, '(?is)<base\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)""")} AS based,
+    unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
 ),
 link AS (
-  SELECT url, CASE
+  SELECT url, based, CASE
     WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
   END AS link FROM tag
 ),
-target AS (
-  SELECT url, CASE
-    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-    WHEN link LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link
-    WHEN link LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
-    WHEN link LIKE '?%' THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || link
-    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link
-  END AS target FROM link WHERE link <> ''
-),
-edge AS (
-  SELECT a AS src, b AS dst FROM (
-    SELECT translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS a,
-      translate(regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
-    FROM target WHERE contains(target, '://'))
+whole AS (
+  SELECT url, CASE WHEN based <> '' THEN {_resolved_sql("url", "based")} END AS based, {_unescaped_sql("link")} AS link FROM link WHERE link <> ''
 ),
+start AS (SELECT url, CASE WHEN contains(based, '://') THEN based ELSE url END AS base, link FROM whole),
+target AS (SELECT url, {_resolved_sql("base", "link")} AS target FROM start),
+edge AS (SELECT {_node_sql("url")} AS src, {_node_sql("target")} AS dst FROM target WHERE contains(target, '://')),
 both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
 page AS (
-  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS node
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {_node_sql("url")} AS node
   FROM pages
 ),
 spot AS (

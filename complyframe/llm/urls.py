@@ -29,11 +29,44 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are followed; none leads above the root."""
+    segments = F.split(F.regexp_replace(path, r"/(\.\.?)\z", "/$1/"), "/")
+
+    def follow(way: Column, segment: Column) -> Column:
+        up = F.regexp_replace(way, r"/[^/]*\z", "")
+        return F.when(segment == ".", way).when(segment == "..", up).otherwise(F.concat(way, F.lit("/"), segment))
+
+    followed = F.aggregate(F.slice(segments, 2, F.size(segments)), F.lit(""), follow)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), followed).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL without fragment, scheme and host in lower case; null if it has no ``://``."""
-    head, tail = r"(?s)^(.*?://[^/?#]*)([^#]*)", r"$1"
-    bare = F.regexp_extract(url, head, 2)
-    return F.when(F.contains(url, F.lit("://")), F.concat(F.translate(F.regexp_extract(url, head, 1), UPPER, LOWER), bare))
+    """A URL without fragment and dot segments, scheme and host in lower case; null if it has no ``://``."""
+    parts = r"(?s)^(.*?://[^/?#]*)([^?#]*)([^#]*)"
+    site, path, query = (F.regexp_extract(url, parts, k) for k in (1, 2, 3))
+    return F.when(F.contains(url, F.lit("://")), F.concat(F.translate(site, UPPER, LOWER), without_dots(path), query))
+
+
+#: Named character references that stand in URLs.
+REFERENCES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with character references decoded; what is none, or names no character, stays."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-z]+;|[^&]+|&"), F.lit(0))
+
+    def decoded(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, r"^&#([0-9]+);\z", 1).try_cast("int")
+        code = F.coalesce(decimal, F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);\z", 1), F.lit("")), 16, 10).try_cast("int"))
+        character = F.when(
+            code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        )
+        for name, meant in REFERENCES.items():
+            character = character.when(piece == name, meant)
+        return character.otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -51,12 +84,14 @@ def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataF
 
 
 def _resolved(base: Column, link: Column) -> Column:
-    """An absolute URL for a link found at ``base``."""
+    """An absolute URL for a link found at ``base``; null for schemes without ``//``."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(link, F.lit("#")), base)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(site, link))
         .when(F.startswith(link, F.lit("?")), F.concat(site, F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), link))
@@ -67,22 +102,28 @@ def _resolved(base: Column, link: Column) -> Column:
 def links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(src, dst) of each page's canonical link and each redirect by ``meta refresh``.
 
-    Both are read off the page itself, whole. Tags without a target, and pages
-    whose URL is null or has no ``://``, give no edge.
+    Both are read off the page itself, whole, with character references decoded,
+    and start from its first ``base href`` if it has one. Tags without a target,
+    and pages whose URL is null or has no ``://``, give no edge.
     """
+    based = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
     target = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
     tags = F.regexp_extract_all(html_column, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where(F.col(html_column).rlike(r"(?i)<link\b|<meta\b[^>]*http-equiv")).select(
-        F.col(url_column).alias("_url"), F.explode(tags).alias("_tag")
+        F.col(url_column).alias("_url"),
+        unescaped(F.regexp_extract(html_column, based, 1)).alias("_based"),
+        F.explode(tags).alias("_tag"),
     )
     link = F.when(
         F.col("_tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract("_tag", target, 1)
     ).when(
         F.col("_tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("_tag", refresh, 1)
     )
-    found = found.withColumn("_link", link).where("_link <> ''")
-    return found.select(node_of(F.col("_url")).alias("src"), node_of(_resolved(F.col("_url"), F.col("_link"))).alias("dst")).where(
+    found = found.withColumn("_link", unescaped(link)).where("_link <> ''")
+    base = F.when(F.col("_based") != "", _resolved(F.col("_url"), F.col("_based")))
+    found = found.withColumn("_base", F.when(F.contains(base, F.lit("://")), base).otherwise(F.col("_url")))
+    return found.select(node_of(F.col("_url")).alias("src"), node_of(_resolved(F.col("_base"), F.col("_link"))).alias("dst")).where(
         "src IS NOT NULL AND dst IS NOT NULL"
     )
 
@@ -101,7 +142,8 @@ def judge(
     are. URLs without one are blocked if a URL of their component, over the
     ``edges`` (src, dst: redirects and canonical links, by default those in the
     pages), has a block rule of its own; else they are allowed. A target that is
-    no page itself is judged and passes its block on, too.
+    no page itself is judged and passes its block on, too. A URL's own rule goes
+    by its path as it stands, its aliases' by paths without dot segments.
 
     A null URL and one without ``://`` have empty host and path, fit no rule and
     have no alias. Repeated rows and URLs are judged alike; other columns are
@@ -123,6 +165,6 @@ def judge(
     groups = components(edges)
     nodes = ruled(groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     blocked = nodes.where("own = 'block'").select("component").distinct()
-    aliases = nodes.where("own IS NULL").join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit("block").alias("_passed"))
+    aliases = nodes.where("own IS DISTINCT FROM 'allow'").join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit("block").alias("_passed"))
     verdict = F.coalesce("own", "_passed", F.lit("allow"))
     return parts.join(aliases, "_node", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -516,6 +516,18 @@ def test_urls(spark):
         (13, "http://a.net/x?", None),
         (14, "http://example.org/en/123", None),
         (15, "http://g.net/a/b", '<link rel="stylesheet" href="http://d.com/de/1"><link rel="canonical">'),
+        (16, "http://h.net/q?a=1&b=\U0001f600", link("http://d.com/de/2")),  # reached by references below
+        (17, "http://i.net/1", link("http://h.net/q?a=1&amp;b=&#x1F600;")),
+        (18, "http://i.net/2", link("http&#58;//h.net/q?a=1&#38;b=&#128512;")),
+        (19, "http://j.net/a/b/c", link("../.././x/../d")),  # http://j.net/d
+        (20, "http://j.net/d", link("http://d.com/x/../de/3")),
+        (21, "http://k.net/1", '<base target=x><base href="http://d.com/de/4/"><link rel=canonical href="y">'),
+        (22, "http://k.net/2", '<base href="//j.net/a/"><link rel=canonical href="../d">'),
+        (23, "http://l.net/x/./y", None),  # the same page as the next one's target
+        (24, "http://l.net/z", link("/x/y") + link("http://d.com/de/5")),
+        (25, "http://m.net/1", link("mailto:a@d.com") + refresh("#top") + link("&nosuch;&#0;&#xD800;&#9999999;&")),
+        (26, "http://n.net/..", link("../../..")),
+        (27, "http://d.com/de/../fr/1", link("http://d.com/de/6")),  # allowed once followed
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"host": F.lit(1), "_node": F.lit(1), "own": F.lit(1)})
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df).collect()}
@@ -526,6 +538,7 @@ def test_urls(spark):
     assert got[9] == ("", "", None, "allow") and got[10] == ("", "", None, "allow")
     assert got[11] == ("notexample.org", "", None, "allow")
     assert [got[k][2:] for k in (12, 13, 14, 15)] == [(None, "allow"), (None, "allow"), ("example.org/en/1", "block"), (None, "allow")]
+    assert [got[k][3] for k in range(16, 28)] == ["block"] * 9 + ["allow", "allow", "block"]
     pages = duckdb.connect()
     table = df.select("page_id", "url", "html").toArrow()
     pages.register("pages", table)
