@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from complyframe.constants import SUBSTANCE_SYNONYMS
 from complyframe.functions import ids, scoring, text
 from complyframe.operators import extract, impact, reconcile
+from complyframe.operators.joins import salted_join
 from complyframe.plans.joins import raw_names
 from complyframe.plans.registry import query
 from complyframe.plans.views import add_view
@@ -96,21 +97,22 @@ def authority_tier(t):
 
 @query(
     "h11_evaluation",
-    """SELECT c.clause_id, i.product_id, CASE WHEN c.clause_type = 'numeric_limit' AND i.substance <> c.substance
+    """SELECT c.clause_id, i.amount_base, COALESCE(i.lines, 0) AS lines,
+         CASE WHEN c.clause_type = 'numeric_limit' AND i.lines IS NULL
          THEN 'not_applicable' WHEN c.confidence < 0.5 OR c.clause_type <> 'numeric_limit' OR i.amount_base IS NULL
          THEN 'needs_review' WHEN i.amount_base <= c.limit_base THEN 'pass' ELSE 'fail' END AS evaluation
-       FROM v_clauses c JOIN v_ingredients i ON i.product_id = c.clause_id""",
+       FROM v_clauses c LEFT JOIN (SELECT substance, amount_base, COUNT(*) AS lines FROM v_ingredients GROUP BY 1, 2) i
+         ON i.substance = c.substance""",
 )
 def evaluation(t):
-    """Every clause against the product of the same number."""
-    recipes = t.ingredients().select(
-        F.col("product_id"), F.col("substance").alias("ingredient"), F.col("amount_base").alias("amount")
-    )
-    met = t.clauses().join(recipes, F.col("clause_id") == F.col("product_id"))
+    """Every clause against each amount that products list of its substance; not applicable where none does."""
+    lines = t.ingredients().groupBy("substance", F.col("amount_base").alias("amount")).agg(F.count(F.lit(1)).alias("lines"))
+    met = salted_join(t.clauses(), lines, ["substance"], ["clause_id"], "left")
     verdict = scoring.evaluation(
-        F.col("ingredient") == F.col("substance"), F.col("confidence"), F.col("clause_type"), F.col("amount"), F.col("limit_base")
+        F.col("lines").isNotNull(), F.col("confidence"), F.col("clause_type"), F.col("amount"), F.col("limit_base")
     )
-    return met.select("clause_id", "product_id", verdict.alias("evaluation"))
+    lines = F.coalesce("lines", F.lit(0)).alias("lines")
+    return met.select("clause_id", F.col("amount").alias("amount_base"), lines, verdict.alias("evaluation"))
 
 
 add_view(
@@ -216,18 +218,18 @@ _INTENT_SQL = " ".join(
 @query(
     "h17_question_intent",
     f"""SELECT conv_id, turn, CASE {_INTENT_SQL} ELSE 'unknown' END AS intent FROM (
-          SELECT conv_id, turn, CONCAT(text, CASE (conv_id + turn) % 6 WHEN 0 THEN ' Why is my product at risk?'
-            WHEN 1 THEN ' What changed in the EU regulation?' WHEN 2 THEN ' Can I export to Germany?'
-            WHEN 3 THEN ' What do I fix?' WHEN 4 THEN ' What does the EU say about benzoate?' ELSE '' END) AS question
+          SELECT conv_id, turn, CONCAT(text, CASE (conv_id + turn) % 6 WHEN 0 THEN ' Mengapa the pickles row is red?'
+            WHEN 1 THEN ' Did the colouring rules get an update?' WHEN 2 THEN ' Are the biscuits ready for the fair?'
+            WHEN 3 THEN ' How would you reformulate this jam?' WHEN 4 THEN ' Which limit holds for sorbate?' ELSE '' END) AS question
           FROM conversations WHERE role = 'user')""",
 )
 def question_intent(t):
     endings = (
-        " Why is my product at risk?",
-        " What changed in the EU regulation?",
-        " Can I export to Germany?",
-        " What do I fix?",
-        " What does the EU say about benzoate?",
+        " Mengapa the pickles row is red?",
+        " Did the colouring rules get an update?",
+        " Are the biscuits ready for the fair?",
+        " How would you reformulate this jam?",
+        " Which limit holds for sorbate?",
         "",
     )
     ending = F.get(F.array(*[F.lit(e) for e in endings]), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
