@@ -112,7 +112,7 @@ def links(pages: DataFrame, url_column: str = "url", html_column: str = "html")
     tags = F.regexp_extract_all(html_column, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where(F.col(html_column).rlike(r"(?i)<link\b|<meta\b[^>]*http-equiv")).select(
         F.col(url_column).alias("_url"),
-        unescaped(F.regexp_extract(html_column, based, 1)).alias("_based"),
+        F.regexp_extract(html_column, based, 1).alias("_based"),
         F.explode(tags).alias("_tag"),
     )
     link = F.when(
@@ -120,12 +120,16 @@ def links(pages: DataFrame, url_column: str = "url", html_column: str = "html")
     ).when(
         F.col("_tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("_tag", refresh, 1)
     )
-    found = found.withColumn("_link", unescaped(link)).where("_link <> ''")
-    base = F.when(F.col("_based") != "", _resolved(F.col("_url"), F.col("_based")))
-    found = found.withColumn("_base", F.when(F.contains(base, F.lit("://")), base).otherwise(F.col("_url")))
-    return found.select(node_of(F.col("_url")).alias("src"), node_of(_resolved(F.col("_base"), F.col("_link"))).alias("dst")).where(
-        "src IS NOT NULL AND dst IS NOT NULL"
-    )
+    # Each step is written: a filter pushed below them would repeat every expression many times over.
+    raw = stored(found.select("_url", "_based", link.alias("_link")).where("_link <> ''"), "tags")
+    read = stored(raw.select("_url", unescaped(F.col("_based")).alias("_based"), unescaped(F.col("_link")).alias("_link")), "decoded")
+    based_on = F.when(F.col("_based") != "", _resolved(F.col("_url"), F.col("_based")))
+    bases = stored(read.select("_url", "_link", based_on.alias("_base")), "bases")
+    base = F.when(F.contains("_base", F.lit("://")), F.col("_base")).otherwise(F.col("_url"))
+    bases = stored(bases.select("_url", "_link", base.alias("_base")), "starts")
+    targets = stored(bases.select("_url", _resolved(F.col("_base"), F.col("_link")).alias("_target")), "targets")
+    ends = stored(targets.select(node_of(F.col("_url")).alias("src"), node_of(F.col("_target")).alias("dst")), "edges")
+    return ends.where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def judge(
