@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,15 @@ def _before_fan_out(places: DataFrame) -> DataFrame:
 CLAUSE_FIELDS = ["clause_id", "clause_type", "limit_base", "confidence"]
 
 
-def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame) -> DataFrame:
+def requirements(
+    places: DataFrame, ingredients: DataFrame, clauses: DataFrame, carried: Sequence[str] = ()
+) -> DataFrame:
     """Which clause binds which product in which market, with the verdict.
 
     ``places``: product_id, product_type, market_id, jurisdiction.
     ``ingredients``: product_id, substance, amount_base; one row per substance.
     ``clauses``: active ones, in comparable form; pass current clauses to keep
-    one row per scope.
+    one row per scope. ``carried`` names further columns of theirs to keep.
 
     The condition "same substance, or a non-numeric clause for the product type"
     is run as equality joins. What the type branch shares with the substance
@@ -69,7 +73,8 @@ def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame)
     """
     places = _before_fan_out(places)
     numeric = F.col("clause_type") == "numeric_limit"
-    fields = clauses.select(*CLAUSE_FIELDS, "jurisdiction", "substance", "product_type", "document_id")
+    kept = [F.col(c).alias(f"_c_{c}") for c in carried]
+    fields = clauses.select(*CLAUSE_FIELDS, "jurisdiction", "substance", "product_type", "document_id", *kept)
     content = places.select(*PAIR, "jurisdiction").join(ingredients, "product_id")
     by_substance = salted_join(
         content, fields.drop("product_type"), ["jurisdiction", "substance"], ["product_id", "market_id"]
@@ -82,6 +87,7 @@ def requirements(places: DataFrame, ingredients: DataFrame, clauses: DataFrame)
         ["product_id", "market_id"],
     ).join(ingredients.select("product_id", "substance"), ["product_id", "substance"], "left_anti")
     columns = [*PAIR, "jurisdiction", "substance", "clause_id", "document_id", "clause_type", "limit_base", "confidence"]
+    columns += [F.col(f"_c_{c}").alias(c) for c in carried]
     amount = F.when(numeric, F.col("amount_base")).alias("amount_base")
     no_amount = F.lit(None).cast(text.AMOUNT).alias("amount_base")
     return evaluate(by_substance.select(*columns, amount).unionByName(by_type.select(*columns, no_amount)))

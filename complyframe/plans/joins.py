@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from complyframe.constants import UNIT_FACTORS
 from complyframe.functions import text
 from complyframe.functions.ids import content_hash
-from complyframe.operators import extract, grounding, impact, normalize, reconcile, timeline
+from complyframe.operators import deltas, extract, grounding, impact, normalize, reconcile, timeline
 from complyframe.operators.impact import KEY, PAIR
 from complyframe.operators.joins import salted_join
 from complyframe.plans.registry import query
@@ -157,8 +157,55 @@ add_view(
 
 @query("c06_requirement_changes", "SELECT product_id, market_id, clause_id, change FROM v_requirement_changes")
 def requirement_changes(t):
-    changed = impact.requirement_changes(t.requirements(), t.requirements(after=True))
-    return changed.select(*KEY, "change")
+    found = deltas.requirement_deltas(t.places(), t.ingredients(), t.current(), t.following(), unchanged=True)
+    return deltas.by_clause(found).select(*KEY, "change")
+
+
+# A limit that another one of its scope replaces is one requirement that changed.
+add_view(
+    "v_requirement_moves",
+    """SELECT n.product_id, n.market_id, n.clause_id, o.limit_base AS was_limit, n.limit_base, o.evaluation AS was_evaluation,
+         n.evaluation, o.clause_id AS prior_clause
+       FROM (SELECT r.*, c.product_type FROM v_req_after r JOIN v_clauses c ON c.clause_id = r.clause_id
+             WHERE r.clause_type = 'numeric_limit') n
+       LEFT JOIN (SELECT r.*, c.product_type FROM v_req_before r JOIN v_clauses c ON c.clause_id = r.clause_id
+                  WHERE r.clause_type = 'numeric_limit') o
+         ON o.product_id = n.product_id AND o.market_id = n.market_id AND o.jurisdiction = n.jurisdiction
+        AND o.substance = n.substance AND o.product_type = n.product_type
+       UNION ALL
+       SELECT n.product_id, n.market_id, n.clause_id, o.limit_base, n.limit_base, o.evaluation, n.evaluation, o.clause_id
+       FROM v_req_after n LEFT JOIN v_req_before o
+         ON o.product_id = n.product_id AND o.market_id = n.market_id AND o.clause_id = n.clause_id
+       WHERE n.clause_type <> 'numeric_limit'""",
+)
+
+
+@query(
+    "c06_requirement_events",
+    """SELECT product_id, market_id, clause_id, prior_clause,
+         CASE WHEN prior_clause IS NULL THEN 'requirement_created' ELSE 'requirement_changed' END AS event_type,
+         was_limit, limit_base, was_evaluation, evaluation
+       FROM v_requirement_moves WHERE prior_clause IS NULL OR was_evaluation <> evaluation
+          OR was_limit IS DISTINCT FROM limit_base""",
+)
+def requirement_events(t):
+    """Only scopes whose limit changed, and new clauses, meet the products."""
+    found = deltas.requirement_deltas(t.places(), t.ingredients(), t.current(), t.following())
+    logged = deltas.requirement_events(found)
+    value = "clause_id BIGINT, limit_base DECIMAL(18,6), evaluation STRING"
+    before, after = F.from_json("before", value), F.from_json("after", value)
+    entity = F.split("entity_id", ":")
+    return logged.select(
+        entity[0].cast("bigint").alias("product_id"),
+        entity[1].alias("market_id"),
+        F.get_json_object("cause", "$.clause_id").cast("bigint").alias("clause_id"),
+        before["clause_id"].alias("prior_clause"),
+        "event_type",
+        before["limit_base"].alias("was_limit"),
+        after["limit_base"].alias("limit_base"),
+        before["evaluation"].alias("was_evaluation"),
+        after["evaluation"].alias("evaluation"),
+    )
 
 
 @query(

@@ -11,7 +11,7 @@ from complyframe.plans import QUERIES, oracles
 FOLDER = "/root/testdata/sf0.001"
 # The whole loop takes long to plan; tests/test_streaming.py covers it on small
 # input and tests/compare.py runs these too.
-LONG = {"i03_impact_stage", "i07_order_independent_reconcile", "i08_idempotent_redelivery", "i09_live_alerts"}
+LONG = {"i03_impact_stage", "i03_requirement_state", "i07_order_independent_reconcile", "i08_idempotent_redelivery", "i09_live_alerts"}
 # Nothing this rare in tables this small.
 EMPTY = {"d05_stage_durations", "e04_effective_date_conflicts", "e07_stage_durations", "e09_illegal_transitions"}
 
