@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from complyframe.operators.joins import SALTS, salted_join
+from complyframe.operators import impact
+from complyframe.operators.joins import salted_join
 
 
 def final_plan(df) -> str:
@@ -25,3 +26,29 @@ def test_salted_lookup_is_broadcast_by_the_size_of_all_copies(spark, tmp_path):
     small = salted_join(facts, lookup.where("k < 7"), ["k"], ["id"]).agg(total)
     assert "BroadcastExchange" in final_plan(small)
     assert large.collect() == small.collect()
+
+
+def test_requirements_are_not_shuffled_after_the_fan_out(spark):
+    """A clause that binds by substance and by type is one row, with no join of the rows afterwards."""
+    places = spark.createDataFrame(
+        [(1, "m", "SNACK", "EU"), (2, "m", "*", "EU"), (3, "m", None, "EU")],
+        "product_id LONG, market_id STRING, product_type STRING, jurisdiction STRING",
+    )
+    ingredients = spark.createDataFrame(
+        [(1, "salt", 5), (2, "salt", 5), (3, "salt", 5)], "product_id LONG, substance STRING, amount LONG"
+    ).selectExpr("product_id", "substance", "CAST(amount AS DECIMAL(18,6)) AS amount_base")
+    clauses = spark.createDataFrame(
+        [
+            (1, "EU", "salt", "SNACK", "labeling"),
+            (2, "EU", "salt", "DRINK", "labeling"),
+            (3, "EU", "sugar", "*", "labeling"),
+            (4, "EU", "salt", "SNACK", "numeric_limit"),
+            (5, "EU", "salt", "SNACK", None),
+            (6, "EU", "salt", None, "labeling"),
+        ],
+        "clause_id LONG, jurisdiction STRING, substance STRING, product_type STRING, clause_type STRING",
+    ).selectExpr("*", "CAST(9 AS DECIMAL(18,6)) AS limit_base", "CAST(0.9 AS DECIMAL(18,6)) AS confidence", "1L AS document_id")
+    found = impact.requirements(places, ingredients, clauses)
+    rows = sorted((r.product_id, r.clause_id) for r in found.collect())
+    assert rows == [(p, c) for p in (1, 2, 3) for c in (1, 2, 3, 4, 5, 6)]
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
