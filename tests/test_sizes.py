@@ -61,6 +61,7 @@ def test_requirements_are_not_shuffled_after_the_fan_out(spark):
     "c06_requirement_changes",
     "c10_relationships",
     "d02_issue_counts",
+    "d04_stage_funnel",
 ])
 def test_substances_stay_few(name):
     """These see 20 substances whatever the number of products; more of them made their job smaller."""
