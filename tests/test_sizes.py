@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from complyframe.operators import impact
+from complyframe.operators import grounding, impact
 from complyframe.operators.joins import salted_join
 from complyframe.plans import oracles
 
@@ -72,3 +72,21 @@ def test_substances_stay_few(name):
     """These see 20 substances whatever the number of products; more of them made their job smaller."""
     sql = oracles()[name]
     assert "v_vocabulary" not in sql and "% 20" in sql
+
+
+def test_first_requirements_need_only_the_leading_clauses(spark):
+    """The same three per product, from a bounded number of clauses per substance and per type."""
+    places = spark.range(6).selectExpr("id AS product_id", "'m' AS market_id", "concat('T', id % 2) AS product_type", "'EU' AS jurisdiction")
+    ingredients = spark.range(6).selectExpr("id AS product_id", "concat('s', id % 3) AS substance", "CAST(1 AS DECIMAL(18,6)) AS amount_base")
+    clauses = spark.range(600).selectExpr(
+        "id AS clause_id", "'EU' AS jurisdiction", "concat('s', id % 5) AS substance",
+        "CASE WHEN id % 4 = 3 THEN '*' ELSE concat('T', id % 4) END AS product_type",
+        "CASE WHEN id % 7 < 4 THEN 'numeric_limit' ELSE 'labeling' END AS clause_type",
+        "CAST(id % 3 AS DECIMAL(18,6)) AS limit_base", "CAST(id * 37 % 11 / 11 AS DECIMAL(18,6)) AS confidence", "1L AS document_id",
+    )
+    few = impact.leading(clauses, [F.desc("confidence"), F.asc("clause_id")], 3)
+    assert few.count() <= 3 * (5 + 4 * 2)
+    results = [
+        sorted(map(tuple, grounding.strongest_clauses(impact.requirements(places, ingredients, c), 3).collect())) for c in (clauses, few)
+    ]
+    assert results[0] == results[1] and len(results[0]) == 18
