@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from complyframe.operators import grounding, impact
 from complyframe.operators.joins import salted_join
-from complyframe.plans import oracles
+from complyframe.plans import QUERIES, oracles
 
 
 def final_plan(df) -> str:
@@ -90,3 +90,13 @@ def test_first_requirements_need_only_the_leading_clauses(spark):
         sorted(map(tuple, grounding.strongest_clauses(impact.requirements(places, ingredients, c), 3).collect())) for c in (clauses, few)
     ]
     assert results[0] == results[1] and len(results[0]) == 18
+
+
+def test_readiness_evaluates_few_clauses_besides_limits(spark, monkeypatch):
+    """One clause other than a limit per substance and per type and jurisdiction."""
+    seen, whole = [], impact.requirements
+    monkeypatch.setattr(impact, "requirements", lambda p, i, c: (seen.append((p, i, c)), whole(p, i, c))[1])
+    QUERIES["h22_readiness"](spark, "/root/testdata/sf0.001")
+    others = seen[-1][2].where("clause_type <> 'numeric_limit'")
+    scopes = [others.select("jurisdiction", c).distinct().count() for c in ("substance", "product_type")]
+    assert 0 < others.count() <= sum(scopes)
