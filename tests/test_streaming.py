@@ -145,3 +145,16 @@ def test_statuses_do_not_depend_on_batching(spark, batches):
     got = sorted(map(tuple, compliance.clauses.state().select("clause_id", "status").collect()))
     want = sorted(map(tuple, reconcile.verdicts(base.unionByName(new)).select("clause_id", "status").collect()))
     assert got == want
+
+
+def test_a_clause_that_contradicts_a_replaced_one_goes_to_review(spark):
+    """The clause of the same dates was superseded by a later one before the stream began."""
+    base = clauses(spark, clause("e1", "EU", "0.10"), clause("e2", "EU", "0.20", day=5))
+    new = clauses(spark, clause("e3", "EU", "0.05", status="pending_reconciliation"),
+                  clause("e4", "EU", "0.10", day=7, status="pending_reconciliation"))
+    settled = reconcile.verdicts(base).drop("was", "gated", "verdict", "supersedes", "superseded_by", "change").localCheckpoint()
+    later = settled.where("status = 'active'").unionByName(new)
+    rows = reconcile.verdicts(later, history=settled.where("status = 'superseded'")).select("clause_id", "status").collect()
+    assert dict(map(tuple, rows)) == {"e2": "superseded", "e3": "needs_review", "e4": "active"}
+    whole = reconcile.verdicts(base.unionByName(new)).where("clause_id <> 'e1'").select("clause_id", "status").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, whole))
