@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from complyframe.operators import grounding, impact
-from complyframe.operators.joins import salted_join
+from complyframe.operators import counts, grounding, impact
+from complyframe.operators.joins import salted_join, shuffled_join
 from complyframe.plans import QUERIES, oracles
 
 
@@ -100,3 +100,42 @@ def test_readiness_evaluates_few_clauses_besides_limits(spark, monkeypatch):
     others = seen[-1][2].where("clause_type <> 'numeric_limit'")
     scopes = [others.select("jurisdiction", c).distinct().count() for c in ("substance", "product_type")]
     assert 0 < others.count() <= sum(scopes)
+
+
+def test_a_lookup_of_clauses_is_not_broadcast(spark, tmp_path):
+    """Small as a file, large as a hash table in the driver: it is shuffled, not repeated."""
+    spark.range(2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v")).write.parquet(f"{tmp_path}/lookup")
+    lookup = spark.read.parquet(f"{tmp_path}/lookup")
+    facts = spark.range(5000).select((F.col("id") % 70).alias("k"), F.col("id").alias("f"))
+    met = shuffled_join(facts, lookup, ["k"])
+    assert "BroadcastExchange" not in final_plan(met.agg(F.count("v")))
+    assert met.count() == facts.join(F.broadcast(lookup), "k").count()
+
+
+def test_counted_requirements_stand_for_all_rows(spark):
+    """By substance, by type, both ways, for types that are null or the catch-all, in two markets of one jurisdiction."""
+    places = spark.createDataFrame(
+        [(p, m, t, j) for p, t in ((1, "SNACK"), (2, "*"), (3, None), (4, "DRINK")) for m, j in (("m", "EU"), ("n", "EU"), ("n", "DE"))],
+        "product_id LONG, market_id STRING, product_type STRING, jurisdiction STRING",
+    )
+    ingredients = spark.createDataFrame(
+        [(1, "salt", 5), (2, "salt", 12), (3, "salt", None), (4, "sugar", 5)], "product_id LONG, substance STRING, amount LONG"
+    ).selectExpr("product_id", "substance", "CAST(amount AS DECIMAL(18,6)) AS amount_base")
+    kinds = [(s, t, k) for s in ("salt", "sugar") for t in ("SNACK", "DRINK", "*", None) for k in ("labeling", "numeric_limit")]
+    clauses = spark.createDataFrame(
+        [(10 * n + len(j), j, *kind) for n, kind in enumerate(kinds) for j in ("EU", "R")],
+        "clause_id LONG, jurisdiction STRING, substance STRING, product_type STRING, clause_type STRING",
+    ).selectExpr("*", "CAST(9 AS DECIMAL(18,6)) AS limit_base", "CAST(0.9 AS DECIMAL(18,6)) AS confidence", "1L AS document_id")
+    rows = impact.requirements(places, ingredients, clauses).localCheckpoint()
+    per_clause = lambda df, n: sorted(map(tuple, df.groupBy("clause_id", "evaluation").agg(n).collect()))
+    counted = impact.counted_requirements(places, ingredients, clauses)
+    assert per_clause(counted, F.sum("bound")) == per_clause(rows, F.count(F.lit(1)))
+    reached = impact.portfolio(impact.counted_requirements(places, ingredients, clauses, of=["product_id"])).drop("worst")
+    products = rows.groupBy("clause_id").agg(F.countDistinct("product_id"))
+    assert sorted(map(tuple, reached.collect())) == sorted(map(tuple, products.collect()))
+    limits = impact.limit_requirements(places, ingredients, clauses)
+    assert sorted(map(str, limits.collect())) == sorted(map(str, rows.where("clause_type = 'numeric_limit'").select(limits.columns).collect()))
+    by_market = counts.requirement_counts(places, ingredients, clauses, by=["market_id"])
+    keys = ["market_id", "evaluation", "jurisdiction", "clause_type"]
+    want = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requirements"))
+    assert sorted(map(str, by_market.select(*want.columns).collect())) == sorted(map(str, want.collect()))
