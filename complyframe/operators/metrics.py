@@ -17,9 +17,13 @@ def _count(df: DataFrame, stage: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), "n")
 
 
-def funnel(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows that reached each stage."""
-    return reduce(DataFrame.unionByName, [_count(df, name) for name, df in stages.items()])
+def funnel(stages: Mapping[str, DataFrame], counted: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Rows that reached each stage; ``counted`` are stages as frames of counts, column ``n``, to be added up."""
+    rows = [_count(df, name) for name, df in stages.items()]
+    for name, df in (counted or {}).items():
+        total = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
+        rows.append(df.agg(total.alias("n")).select(F.lit(name).alias("stage"), "n"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
