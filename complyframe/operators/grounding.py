@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from complyframe.functions import scoring
-from complyframe.operators.joins import salted_join
+from complyframe.operators.joins import salted_join, shuffled_join
 
 
 def check(log: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def conflicts_of(required: DataFrame, conflicts: DataFrame) -> DataFrame:
     pairs = conflicts.select("clause_a", "clause_b")
     bound = required.select("product_id", "clause_id").distinct()
     sides = [
-        salted_join(bound, pairs.withColumn("clause_id", F.col(side)), ["clause_id"], ["product_id"])
+        shuffled_join(bound, pairs.withColumn("clause_id", F.col(side)), ["clause_id"])
         for side in ("clause_a", "clause_b")
     ]
     return sides[0].unionByName(sides[1]).select("product_id", "clause_a", "clause_b").distinct()
