@@ -10,6 +10,7 @@ from test_scenarios import _random_clauses, clause, clauses, product, world
 from complyframe.operators import reconcile
 from complyframe.schemas import PUSH_MESSAGES
 from complyframe.sources import messages, storage
+from complyframe.sources.fixtures import Tables
 from complyframe.sources.tables import stream_of
 from complyframe.streaming import stages
 from complyframe.streaming.logs import ChangeLog, drain, drain_to_files
@@ -158,3 +159,14 @@ def test_a_clause_that_contradicts_a_replaced_one_goes_to_review(spark):
     assert dict(map(tuple, rows)) == {"e2": "superseded", "e3": "needs_review", "e4": "active"}
     whole = reconcile.verdicts(base.unionByName(new)).where("clause_id <> 'e1'").select("clause_id", "status").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, whole))
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
+    """A table of several files is a folder of its name; both forms give all rows."""
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in ("/root/testdata/sf0.001", str(tmp_path)):
+        seen = []
+        live = Tables(spark, folder).streaming("documents").table("documents")
+        drain(live, f"{storage.run_folder(spark)}/cp", lambda rows, n, seen=seen: seen.extend(r.doc_id for r in rows.collect()))
+        assert sorted(seen) == sorted(r.doc_id for r in whole.collect())
