@@ -139,3 +139,35 @@ def test_counted_requirements_stand_for_all_rows(spark):
     keys = ["market_id", "evaluation", "jurisdiction", "clause_type"]
     want = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requirements"))
     assert sorted(map(str, by_market.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_status_sends_an_ingredient_once_and_not_once_per_place(spark):
+    """Two markets of shared jurisdictions; the same statuses as from all requirements, and the same affected pairs."""
+    places = spark.createDataFrame(
+        [(p, m, t, j) for p, t in ((1, "SNACK"), (2, "*"), (3, None), (4, "DRINK"), (5, "SNACK")) for m, j in (("m", "EU"), ("n", "EU"), ("n", "DE"))],
+        "product_id LONG, market_id STRING, product_type STRING, jurisdiction STRING",
+    )
+    pairs = places.select("product_id", "market_id").distinct().unionByName(spark.createDataFrame([(1, "bare")], "product_id LONG, market_id STRING"))
+    ingredients = spark.createDataFrame(
+        [(1, "salt", 5), (1, "sugar", 1), (2, "salt", 12), (3, "salt", None), (4, "sugar", 5), (5, "water", 1)], "product_id LONG, substance STRING, amount LONG"
+    ).selectExpr("product_id", "substance", "CAST(amount AS DECIMAL(18,6)) AS amount_base")
+    held = impact.content(places, ingredients)
+    assert held.count() == ingredients.count()
+    assert {tuple(sorted(r.sold_in)) for r in held.collect()} == {("DE", "EU")}
+    kinds = [
+        [(1, "EU", "salt", "SNACK", "numeric_limit", 9, 0.9)],
+        [(1, "EU", "salt", "SNACK", "numeric_limit", 9, 0.9), (2, "DE", "salt", "*", "numeric_limit", 3, 0.9)],
+        [(1, "DE", "sugar", "DRINK", "numeric_limit", 5, 0.1), (2, "EU", "fat", "SNACK", "labeling", None, 0.9)],
+        [(1, "DE", "fat", "*", "labeling", None, 0.9), (2, "EU", "salt", "*", "numeric_limit", 12, 0.9)],
+        [(1, "DE", "salt", None, "labeling", None, 0.9), (2, "EU", "sugar", None, "numeric_limit", None, 0.9)],
+    ]
+    for rows in kinds:
+        clauses = spark.createDataFrame(
+            rows, "clause_id LONG, jurisdiction STRING, substance STRING, product_type STRING, clause_type STRING, l LONG, c DOUBLE"
+        ).selectExpr("*", "CAST(l AS DECIMAL(18,6)) AS limit_base", "CAST(c AS DECIMAL(18,6)) AS confidence", "1L AS document_id")
+        required = impact.requirements(places, ingredients, clauses)
+        want = sorted(map(tuple, impact.rollup(required, pairs).select("product_id", "market_id", "status").collect()))
+        for given in (ingredients, held):
+            assert sorted(map(tuple, impact.product_status(places, pairs, given, clauses).collect())) == want
+            reached = sorted(map(tuple, impact.affected_pairs(places, given, clauses).collect()))
+            assert reached == sorted(map(tuple, required.select("product_id", "market_id").distinct().collect()))
