@@ -170,3 +170,17 @@ def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
         live = Tables(spark, folder).streaming("documents").table("documents")
         drain(live, f"{storage.run_folder(spark)}/cp", lambda rows, n, seen=seen: seen.extend(r.doc_id for r in rows.collect()))
         assert sorted(seen) == sorted(r.doc_id for r in whole.collect())
+
+
+def test_a_batch_that_moves_nothing_leaves_the_products_alone(spark, monkeypatch):
+    """Delivered again later, a clause is known; no product is looked at, and the logs stay as they were."""
+    places, _, ingredients = world(spark, product())
+    compliance = stages.ComplianceState(spark, storage.run_folder(spark), places, ingredients, keep_requirements=True)
+    compliance.seed(clauses(spark, clause("e1", "EU", "0.10")))
+    new = clauses(spark, clause("e2", "EU", "0.01", day=9, status="pending_reconciliation"))
+    compliance.on_clauses(new, 1)
+    logs = (compliance.conflicts, compliance.status, compliance.events, compliance.requirements, compliance.requirement_events)
+    before = [log.rows().count() for log in logs]
+    monkeypatch.setattr(stages.impact, "affected_pairs", lambda *_: pytest.fail("looked at products"))
+    compliance.on_clauses(new, 1001)
+    assert [log.rows().count() for log in logs] == before
