@@ -171,3 +171,28 @@ def test_status_sends_an_ingredient_once_and_not_once_per_place(spark):
             assert sorted(map(tuple, impact.product_status(places, pairs, given, clauses).collect())) == want
             reached = sorted(map(tuple, impact.affected_pairs(places, given, clauses).collect()))
             assert reached == sorted(map(tuple, required.select("product_id", "market_id").distinct().collect()))
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_amounts_are_looked_up_without_sending_every_row(spark, monkeypatch, few):
+    """Few different amounts go to the rows; many are met by a shuffle, with the same counts."""
+    monkeypatch.setattr(counts, "FEW_AMOUNTS", few)
+    places = spark.range(40).selectExpr("id AS product_id", "'m' AS market_id", "concat('T', id % 2) AS product_type", "'EU' AS jurisdiction")
+    ingredients = spark.range(40).selectExpr(
+        "id AS product_id", "concat('s', id % 3) AS substance", "CAST(CASE WHEN id % 5 > 0 THEN id % 4 END AS DECIMAL(18,6)) AS amount_base"
+    )
+    clauses = spark.range(30).selectExpr(
+        "id AS clause_id", "'EU' AS jurisdiction", "concat('s', id % 4) AS substance", "concat('T', id % 3) AS product_type",
+        "CASE WHEN id % 7 < 5 THEN 'numeric_limit' ELSE 'labeling' END AS clause_type",
+        "CAST(id % 4 AS DECIMAL(18,6)) AS limit_base", "CAST(id % 3 / 3 + 0.1 AS DECIMAL(18,6)) AS confidence", "1L AS document_id",
+    )
+    decided = counts._decided(counts._met(places, ingredients, clauses), clauses)
+    assert ("BroadcastHashJoin" in final_plan(decided)) == (few > 0)
+    rows = impact.requirements(places, ingredients, clauses)
+    pairs = places.select("product_id", "market_id")
+    want = impact.rollup(rows, pairs)
+    got = counts.issue_counts(places, pairs, ingredients, clauses)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    keys = ["evaluation", "jurisdiction", "clause_type"]
+    want = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requirements"))
+    assert sorted(map(str, counts.requirement_counts(places, ingredients, clauses).select(*want.columns).collect())) == sorted(map(str, want.collect()))
