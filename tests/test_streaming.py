@@ -184,3 +184,16 @@ def test_a_batch_that_moves_nothing_leaves_the_products_alone(spark, monkeypatch
     monkeypatch.setattr(stages.impact, "affected_pairs", lambda *_: pytest.fail("looked at products"))
     compliance.on_clauses(new, 1001)
     assert [log.rows().count() for log in logs] == before
+
+
+def test_the_chain_is_built_for_clauses_that_take_part(spark, monkeypatch):
+    """Other kinds and gated clauses have no neighbours and are not sorted into chains."""
+    seen, whole = [], reconcile.supersede_chain
+    monkeypatch.setattr(reconcile, "supersede_chain", lambda rows, *keys: (seen.append(rows), whole(rows, *keys))[1])
+    rows = clauses(spark, clause("e1", "EU", "0.10"), clause("e2", "EU", "0.05", day=9, status="pending_reconciliation"),
+                   clause("label", "EU", None, kind="labeling", unit=None),
+                   clause("weak", "EU", "0.01", day=10, tier="0.2", status="pending_reconciliation"))
+    decided = {r["clause_id"]: r for r in reconcile.verdicts(rows).collect()}
+    assert sorted(r["clause_id"] for r in seen[0].collect()) == ["e1", "e2"]
+    assert {c: (r["status"], r["supersedes"], r["superseded_by"]) for c, r in decided.items()} == {
+        "e1": ("superseded", None, "e2"), "e2": ("active", "e1", None), "label": ("active", None, None), "weak": ("needs_review", None, None)}
