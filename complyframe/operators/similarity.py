@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from complyframe.operators.joins import salted_join
 
-TILE = 2048
+TILE = 4096
+#: Scores that a task holds at once.
+SCORES = 1 << 20
+#: Scores are rounded to so many digits before they are compared.
+DIGITS = 6
 
 
 def _tile_counts(df: DataFrame, block: str, tile: int, name: str) -> DataFrame:
@@ -17,6 +21,30 @@ def _tile_counts(df: DataFrame, block: str, tile: int, name: str) -> DataFrame:
     return df.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(name))
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+    """Per row of ``x`` its k best rows of ``y`` with another id: row number, neighbour's id, rounded score; ties to the lower id.
+
+    Only scores that may round to the k-th best or better are rounded and
+    sorted; they are found without sorting the rest.
+    """
+    # Ids may repeat among the candidates, and the row's own do not count.
+    wanted = min(k + int(np.unique(ids, return_counts=True)[1].max()), len(ids))
+    step = max(1, SCORES // len(ids))
+    for start in range(0, len(x), step):
+        scores = x[start : start + step] @ y.T
+        known = np.where(np.isnan(scores), -np.inf, scores)
+        least = np.partition(known, len(ids) - wanted, axis=1)[:, len(ids) - wanted]
+        row, column = np.nonzero(known >= (least - 2 * 10.0**-DIGITS)[:, None])
+        other = ids[column] != own[start + row]
+        row, column = row[other], column[other]
+        score, neighbour = np.round(scores[row, column], DIGITS), ids[column]
+        order = np.lexsort((neighbour, -score, row))
+        row, neighbour, score = row[order], neighbour[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < k
+        yield start + row[best], neighbour[best], score[best]
+
+
 def most_similar(
     queries: DataFrame, candidates: DataFrame, block: str, key: str, vector: str, k: int, tile: int = TILE
 ) -> DataFrame:
@@ -49,15 +77,11 @@ def most_similar(
             return pd.DataFrame(columns=columns)
         x, y = (np.stack(f[vector].to_numpy()).astype("float64") for f in (a, b))
         x, y = (m / np.where(n == 0, 1.0, n) for m in (x, y) for n in [np.linalg.norm(m, axis=1, keepdims=True)])
-        scores = np.round(x @ y.T, 6)
-        ids = b[key].to_numpy()
-        own = a[key].to_numpy()
-        parts = []
-        for i in range(len(own)):
-            # Ties go to the lower id, so sort by id last-but-one key first.
-            order = np.lexsort((ids, -scores[i]))
-            order = order[ids[order] != own[i]][:k]
-            parts.append(pd.DataFrame({key: own[i], "neighbour": ids[order], "score": scores[i][order]}))
+        own, ids = a[key].to_numpy(), b[key].to_numpy()
+        parts = [
+            pd.DataFrame({key: own[row], "neighbour": neighbour, "score": score})
+            for row, neighbour, score in _nearest_rows(x, y, own, ids, k)
+        ]
         found = pd.concat(parts, ignore_index=True)
         found.insert(0, block, names[0])
         return found[columns]

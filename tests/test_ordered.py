@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from complyframe.operators import similarity
 from complyframe.operators.joins import salted_join
 from complyframe.operators.ordered import neighbours, positions, quantiles
 from complyframe.operators.similarity import most_similar
@@ -65,6 +66,30 @@ def test_nearest_by_tiles_is_exact(spark):
         assert [n for _, n in sorted(found[i])] == best
 
 
+def test_nearest_rows_are_found_without_sorting_all(monkeypatch):
+    """Ties, repeated ids, rows without a direction and products cut into strips give what sorting every score gives."""
+    monkeypatch.setattr(similarity, "SCORES", 500)
+    sorted_rows, whole = [], np.lexsort
+    monkeypatch.setattr(similarity.np, "lexsort", lambda keys: (sorted_rows.append(len(keys[0])), whole(keys))[1])
+    rng = np.random.default_rng(7)
+    for digits in (1, 9):
+        x, y = (np.round(rng.normal(size=(n, 16)), digits) for n in (40, 200))
+        y[100:] = y[:100]
+        y[3] = np.nan
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        ids = rng.integers(0, 150, 200)
+        own = ids[rng.integers(0, 200, 40)]
+        got = [list(zip(*map(np.ndarray.tolist, part))) for part in similarity._nearest_rows(x, y, own, ids, 3)]
+        scores = np.round(x @ y.T, 6)
+        best = []
+        for i in range(40):
+            order = whole((ids, -scores[i]))
+            order = order[ids[order] != own[i]][:3]
+            best += [(i, int(ids[j]), float(scores[i][j])) for j in order]
+        assert [row for part in got for row in part] == best
+    assert len(sorted_rows) > 2 and sum(sorted_rows) < 2 * 40 * 200 / 4
+
+
 def test_rows_without_a_slice_come_last(spark):
     """Undated rows keep their place at the end of their group, and so do groups without a key."""
     from complyframe.operators.ordered import neighbours, positions
