@@ -196,3 +196,32 @@ def test_amounts_are_looked_up_without_sending_every_row(spark, monkeypatch, few
     keys = ["evaluation", "jurisdiction", "clause_type"]
     want = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("requirements"))
     assert sorted(map(str, counts.requirement_counts(places, ingredients, clauses).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_leading_clauses_meet_products_only_the_way_they_lead(spark):
+    """Every clause has a substance of its own, so it leads there; by type it must lead as well to meet a product."""
+    places = spark.createDataFrame(
+        [(p, m, t, j) for p, t in ((1, "SNACK"), (2, "*"), (3, None)) for m, j in (("m", "EU"), ("n", "EU"), ("n", "DE"))],
+        "product_id LONG, market_id STRING, product_type STRING, jurisdiction STRING",
+    )
+    ingredients = spark.createDataFrame(
+        [(p, s, a) for p in (1, 2, 3) for s, a in (("s40", 5), ("s41", None), ("s2", 5), ("water", 1))], "product_id LONG, substance STRING, amount LONG"
+    ).selectExpr("product_id", "substance", "CAST(amount AS DECIMAL(18,6)) AS amount_base")
+    clauses = spark.range(200).selectExpr(
+        "id % 190 AS clause_id", "IF(id % 2 = 0, 'EU', 'DE') AS jurisdiction", "concat('s', id % 190) AS substance",
+        "CASE WHEN id % 5 = 1 THEN '*' WHEN id % 5 < 4 THEN 'SNACK' END AS product_type",
+        "CASE WHEN id % 190 IN (2, 40) THEN 'numeric_limit' WHEN id % 7 > 0 THEN 'labeling' END AS clause_type",
+        "CAST(id % 3 AS DECIMAL(18,6)) AS limit_base", "CAST(id % 190 % 11 / 11 AS DECIMAL(18,6)) AS confidence", "1L AS document_id",
+    )
+    order = [F.desc("confidence"), F.asc("clause_id")]
+    found = impact.requirements(places, ingredients, impact.leading(clauses, order, 3))
+    # Three per jurisdiction and type (own and any), each perhaps twice, and those of the product's own substances.
+    assert found.groupBy("product_id", "market_id").count().agg(F.max("count")).first()[0] <= 2 * 2 * 3 * 2 + 8
+    whole = impact.requirements(places, ingredients, clauses)
+    assert whole.count() > 5 * found.count()
+    want, got = (sorted(map(tuple, grounding.strongest_clauses(rows, 3).collect())) for rows in (whole, found))
+    assert want == got and len(got) == 9
+    # By substance nothing but the way it travels differs.
+    rows = [impact._by_substance(places, ingredients, impact._fields(clauses), few) for few in (False, True)]
+    want, got = (sorted(map(str, r.select(found.columns[:8] + ["amount_base"]).collect())) for r in rows)
+    assert want == got and len(got) > 0
