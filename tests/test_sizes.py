@@ -225,3 +225,14 @@ def test_leading_clauses_meet_products_only_the_way_they_lead(spark):
     rows = [impact._by_substance(places, ingredients, impact._fields(clauses), few) for few in (False, True)]
     want, got = (sorted(map(str, r.select(found.columns[:8] + ["amount_base"]).collect())) for r in rows)
     assert want == got and len(got) > 0
+
+
+def test_readiness_evaluates_few_clauses_by_type(spark, monkeypatch):
+    """However many substances there are: one clause per type and jurisdiction, and the others not by type."""
+    seen, whole = [], impact.requirements
+    monkeypatch.setattr(impact, "requirements", lambda p, i, c: (seen.append(c), whole(p, i, c))[1])
+    QUERIES["h22_readiness"](spark, "/root/testdata/sf0.01")
+    others = seen[-1].where("clause_type <> 'numeric_limit'")
+    typed = others.where("leads_type")
+    assert 0 < typed.count() <= others.select("jurisdiction", "product_type").distinct().count() < others.count() / 2
+    assert seen[-1].where("leads_type AND (leads_substance OR clause_type = 'numeric_limit')").isEmpty()
