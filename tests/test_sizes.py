@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from complyframe.operators import counts, grounding, impact
-from complyframe.operators.joins import salted_join, shuffled_join
+from complyframe.operators.joins import PACK, packed, salted_join, shuffled_join, unpacked
 from complyframe.plans import QUERIES, oracles
 
 
@@ -236,3 +236,45 @@ def test_readiness_evaluates_few_clauses_by_type(spark, monkeypatch):
     typed = others.where("leads_type")
     assert 0 < typed.count() <= others.select("jurisdiction", "product_type").distinct().count() < others.count() / 2
     assert seen[-1].where("leads_type AND (leads_substance OR clause_type = 'numeric_limit')").isEmpty()
+
+
+def test_rows_of_one_key_travel_and_meet_in_packs(spark):
+    """A crowded key, a small one, one without a match, a null; in bounded packs, and the same rows as the plain join."""
+    lookup = spark.range(2000).selectExpr("CASE WHEN id < 1900 THEN 1 WHEN id < 1950 THEN 2 WHEN id < 1990 THEN 3 END AS k", "id AS v", "IF(id % 3 = 0, NULL, 'w') AS w")
+    facts = spark.range(40).selectExpr("CASE WHEN id % 4 > 0 THEN id % 4 END AS k", "id % 30 AS id")
+    facts = facts.where("k IS NULL OR k < 3")
+    packs = packed(lookup, ["k"])
+    sizes = packs.select("k", F.size("_rows").alias("n")).collect()
+    assert max(r.n for r in sizes) < 2 * PACK and len(sizes) < 20
+    assert sorted(map(str, unpacked(packs).select("k", "v", "w").collect())) == sorted(map(str, lookup.collect()))
+    want = facts.join(lookup, "k")
+    got = salted_join(facts, lookup, ["k"], ["id"], broadcast=False, dealt=True, in_packs=True)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("SortMergeJoin")[0] and "REPARTITION_BY_NUM" in plan
+
+
+def test_the_chain_of_changes_is_not_shuffled_after_the_fan_out(spark):
+    """The same rows as from given requirements; documents that repeat, are missing, or name no clause."""
+    places = spark.createDataFrame(
+        [(p, m, t, j) for p, t in ((1, "SNACK"), (2, "*"), (3, None)) for m, j in (("m", "EU"), ("n", "EU"), ("n", "DE"))],
+        "product_id LONG, market_id STRING, product_type STRING, jurisdiction STRING",
+    )
+    ingredients = spark.createDataFrame([(p, s, a) for p in (1, 2, 3) for s, a in (("salt", 5), ("fat", None))], "product_id LONG, substance STRING, amount LONG")
+    ingredients = ingredients.selectExpr("product_id", "substance", "CAST(amount AS DECIMAL(18,6)) AS amount_base")
+    kinds = [(s, t, k) for s in ("salt", "fat", "water") for t in ("SNACK", "*", None) for k in ("labeling", "numeric_limit", None)]
+    clauses = spark.createDataFrame(
+        [(10 * n + len(j), j, *kind, n % 4) for n, kind in enumerate(kinds) for j in ("EU", "R", "DE")],
+        "clause_id LONG, jurisdiction STRING, substance STRING, product_type STRING, clause_type STRING, document_id LONG",
+    ).selectExpr("*", "CAST(4 AS DECIMAL(18,6)) AS limit_base", "CAST(0.9 AS DECIMAL(18,6)) AS confidence")
+    documents = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (9, "d")], "document_id LONG, source STRING")
+    changes = spark.createDataFrame(
+        [(1, "m", "unknown", "compliant"), (2, "n", "compliant", "non_compliant"), (3, "n", "unknown", "attention_required")],
+        "product_id LONG, market_id STRING, was STRING, status STRING",
+    )
+    moved = places.join(changes, ["product_id", "market_id"], "left_semi")
+    want = impact.impact_chain(changes, impact.requirements(moved, ingredients, clauses), documents)
+    found = impact.chain_of_changes(changes, places, ingredients, clauses, documents)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect())) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan.split("Union")[0]
