@@ -254,6 +254,22 @@ def test_rows_of_one_key_travel_and_meet_in_packs(spark):
     assert "Exchange" not in plan.split("SortMergeJoin")[0] and "REPARTITION_BY_NUM" in plan
 
 
+@pytest.mark.parametrize("name", ["c05_requirements", "c06_requirement_changes"])
+def test_what_is_no_limit_meets_the_products_told_and_bare(spark, monkeypatch, name):
+    """Verdict or change are worked out among clauses, and only what the result names travels, in packs."""
+    met, whole = [], impact.salted_join
+
+    def spied(facts, lookup, on, *more, **how):
+        met.append((on, set(lookup.columns), how))
+        return whole(facts, lookup, on, *more, **how)
+
+    monkeypatch.setattr(impact, "salted_join", spied)
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    [(columns, how)] = [(columns, how) for on, columns, how in met if "product_type" in on]
+    assert how["in_packs"] and columns <= {*found.columns, "jurisdiction", "substance", "product_type"}
+    assert columns & {"evaluation", "change"}
+
+
 def test_the_chain_of_changes_is_not_shuffled_after_the_fan_out(spark):
     """The same rows as from given requirements; documents that repeat, are missing, or name no clause."""
     places = spark.createDataFrame(
